@@ -1,10 +1,12 @@
 """The opN queries and the SQL of those that SQL can express."""
 
-from docloom.llm import url_filter
+from docloom.llm import decontaminate, url_filter
 
 QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
     "op6_url_filter": url_filter.ORACLE_SQL,
+    "op10_decontaminate": decontaminate.ORACLE_SQL,
 }

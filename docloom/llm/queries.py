@@ -1,8 +1,9 @@
 """The opN queries and the SQL of those that SQL can express."""
 
-from docloom.llm import decontaminate, mpegts, url_filter
+from docloom.llm import bpe, decontaminate, mpegts, url_filter
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op2_mpegts": mpegts.op2_mpegts,
     "op6_url_filter": url_filter.op6_url_filter,
     "op10_decontaminate": decontaminate.op10_decontaminate,

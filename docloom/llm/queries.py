@@ -1,10 +1,13 @@
 """The opN queries and the SQL of those that SQL can express."""
 
-from docloom.llm import bpe, decontaminate, mpegts, url_filter
+from docloom.llm import bpe, decontaminate, html_text, language, mpegts, quality, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_mpegts": mpegts.op2_mpegts,
+    "op3_html_text": html_text.op3_html_text,
+    "op7_quality": quality.op7_quality,
+    "op9_language": language.op9_language,
     "op6_url_filter": url_filter.op6_url_filter,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }

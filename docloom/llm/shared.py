@@ -9,7 +9,9 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +64,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def packed(texts: list[bytes], before: bytes, after: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes one after another, each between before and after, with each one's start and end."""
+    data = np.frombuffer(b"".join([x for t in texts for x in (before, t, after)]), np.uint8)
+    sizes = np.array([len(t) + len(before) + len(after) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    return data, ends - sizes, ends

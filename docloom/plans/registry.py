@@ -1,10 +1,6 @@
 """Registered queries of the document operators, each with SQL that computes the same rows where SQL can."""
 
-from __future__ import annotations
+from docloom.plans.base import ORACLES, QUERIES
+from docloom.plans import bilingual_queries, chat_queries, segment_queries, source_queries, text_queries  # noqa: F401  # they register
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -32,7 +32,7 @@ from docloom.llm.shared import slices, table, written
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM  # largest offset of an anchor in its window
 SHALLOW = 16
-HOT = 512
+HOT = 4096
 UNIT = 1 << 20  # bytes hashed at a time; places within take 20 bits
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _M2, _M3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -353,7 +353,9 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     keyed = documents.select(row_of().alias("row"), "text")
     anchors = written(keyed.mapInArrow(_anchors, "row long, at int, high smallint, low smallint, gram long, whole long"), "anchors")
     grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("w1"), F.max("whole").alias("w2")).where("n > 1")
-    shared = written(anchors.join(grams.select("gram", (F.col("w1") != F.col("w2")).alias("mixed")), "gram"), "shared")
+    # Written, so that the join has an exchange on both sides and Spark can split a common anchor's rows.
+    grams = written(grams.select("gram", (F.col("w1") != F.col("w2")).alias("mixed")), "grams")
+    shared = written(anchors.join(grams, "gram"), "shared")
     mixed = shared.where("mixed")
     runs = mixed.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "high", "low")).alias("one"))
     runs = written(runs, "runs")

@@ -117,26 +117,46 @@ def mixture(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return share, best_share
 
 
+def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, list]:
+    """For each text its language, that language's proportion, and the proportions of the chosen set."""
+    names = model.languages
+    use = [i for i, t in enumerate(texts) if names and t and LETTER.search(t)]
+    pred, score, sets = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
+    if use:
+        share, chosen = mixture(model, [texts[i].encode() for i in use])
+        best = np.argmax(chosen, axis=1)
+        for row, i in enumerate(use):
+            pred[i], score[i] = names[best[row]], min(1.0, share[row, best[row]])
+            sets[i] = [(names[j], float(chosen[row, j])) for j in np.flatnonzero(chosen[row] > 0)]
+    return pred, score, sets
+
+
 def identify(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (the language's proportion) and languages (proportions of the chosen set)."""
-    names = model.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            texts = batch.column("text").to_pylist()
-            use = [i for i, t in enumerate(texts) if names and t and LETTER.search(t)]
-            pred, score, sets = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
-            if use:
-                share, chosen = mixture(model, [texts[i].encode() for i in use])
-                best = np.argmax(chosen, axis=1)
-                for row, i in enumerate(use):
-                    pred[i], score[i] = names[best[row]], min(1.0, share[row, best[row]])
-                    sets[i] = [(names[j], float(chosen[row, j])) for j in np.flatnonzero(chosen[row] > 0)]
+            pred, score, sets = predict(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "languages"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, lang_pred string, score double, languages map<string,double>")
 
 
+def accepted(documents: DataFrame, model: Model, least: float = 0.25) -> DataFrame:
+    """The rows, with all their columns, that have a language of at least this proportion; a null lang becomes it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            pred, score, _ = predict(model, batch.column("text").to_pylist())
+            langs = [a if a is not None else b for a, b in zip(batch.column("lang").to_pylist(), pred, strict=True)]
+            at = batch.schema.get_field_index("lang")
+            columns = [pa.array(langs, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+            keep = [p != "und" and s >= least for p, s in zip(pred, score.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def learned_part(documents: DataFrame) -> DataFrame:
     return documents.where(~held_out(F.col("doc_id"), MODULUS))
 

@@ -30,7 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -196,7 +196,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, of = np.concatenate([keys, *own]), np.concatenate([once[of], np.repeat(np.array(light, np.int64), [len(x) for x in own])])
         order = np.argsort(of, kind="stable")
         lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(of, minlength=len(sets)))).astype(np.int32), pa.array(keys[order].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids), lists], ["doc_id", "n_shingles", "set_id", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids), lists], ["doc_id", "row", "n_shingles", "set_id", "keys"])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,17 +312,30 @@ def linked_classes(scanned: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+    """doc_id, row (a hash of doc_id and text), n_shingles, class_id (null if n_shingles is 0) and component_id of every document."""
     kind = dict(documents.dtypes)["doc_id"]
-    scanned = written(documents.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, n_shingles long, set_id long, keys array<long>"), "sets")
+    keyed = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    scanned = written(keyed.mapInArrow(_scan, f"doc_id {kind}, row long, n_shingles long, set_id long, keys array<long>"), "sets")
     labels = linked_classes(scanned, documents)
-    rows = scanned.select("doc_id", "n_shingles", "set_id")
+    rows = scanned.select("doc_id", "row", "n_shingles", "set_id")
     sets = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("low")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-    sets = sets.select("set_id", "low", F.coalesce("label", "set_id").alias("label"))
-    lowest = sets.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = sets.join(lowest, "label").select("set_id", "component_id")
-    return rows.join(named, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    sets = sets.select("set_id", "low", F.coalesce("label", "set_id").alias("class_id"))
+    lowest = sets.groupBy("class_id").agg(F.min("low").alias("component_id"))
+    named = sets.join(lowest, "class_id").select("set_id", "class_id", "component_id")
+    joined = rows.join(named, (rows["set_id"] == named["set_id"]) & (rows["n_shingles"] > 0), "left")
+    return joined.select("doc_id", "row", "n_shingles", "class_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def first_of_classes(documents: DataFrame) -> DataFrame:
+    """documents with one row of each class: that with the smallest doc_id. Rows without words all stay."""
+    classes = jaccard_classes(documents).select("doc_id", "row", "class_id", "n_shingles")
+    first = classes.where("n_shingles > 0").groupBy("class_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("__row"))
+    kept = first.select("__row", F.lit(True).alias("__one")).union(classes.where("n_shingles = 0").select("row", F.lit(False)).distinct())
+    joined = documents.withColumn("__row2", F.xxhash64("doc_id", "text")).join(kept, F.col("__row") == F.col("__row2"))
+    # Equal rows have equal keys; of a class's first row one copy stays.
+    turn = F.row_number().over(Window.partitionBy("__row2").orderBy("__row2"))
+    return joined.withColumn("__turn", turn).where("NOT __one OR __turn = 1").drop("__row", "__row2", "__one", "__turn")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

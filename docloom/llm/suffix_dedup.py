@@ -327,7 +327,7 @@ def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 8 << 20):
+    for batch in slices(batches, "text", 9 << 20):
         spans_out, kept = [], []
         for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
             data, spans = (text or "").encode(), []
@@ -385,6 +385,25 @@ def dedup(documents: DataFrame) -> DataFrame:
     return joined.mapInArrow(_cut, f"doc_id {dict(documents.dtypes)['doc_id']}, n_bytes long, spans array<array<long>>, kept binary")
 
 
+def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns, with the text's repeated spans removed; a character that a span cuts in two goes whole."""
+    for batch in batches:
+        for part in slices(iter([batch]), "text", 8 << 20):
+            rest = [n for n in part.schema.names if n != "found"]
+            texts = [None if t is None else k.decode(errors="ignore") for c in _cut(iter([part])) for t, k in zip(part.column("text").to_pylist(), c.column("kept").to_pylist(), strict=True)]
+            columns = {n: part.column(n) for n in rest} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(t or "") for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([columns[n] for n in rest], rest)
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """documents, all columns, with texts without their repeated spans; n_chars, if there, counts what is left."""
+    found = written(repeated_spans(documents), "spans").withColumnRenamed("row", "__row")
+    joined = documents.join(found, row_of() == F.col("__row"), "left").drop("__row")
+    return joined.mapInArrow(_cut_rows, documents.schema)
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _cut(batches):
         spans = batch.column("spans").to_pylist()

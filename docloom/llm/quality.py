@@ -139,7 +139,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
     sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     found = sample.repartition(1).mapInArrow(fit, "weights binary, bias double").first()
-    return Model(np.frombuffer(found["weights"], np.float32), found["bias"])
+    return ftrl([], []) if found is None else Model(np.frombuffer(found["weights"], np.float32), found["bias"])
 
 
 def hash_order(doc_id: int) -> int:

@@ -223,7 +223,6 @@ def deep_shallow(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarr
         for b in range(8):
             lead[(x >> np.uint64(8 * b)) & np.uint64(255) != 0] = 7 - b
         lcp[1:] = np.where(lead < 8, 8 * c + lead, lcp[1:] if c < flat.shape[1] - 1 else SHALLOW)
-    lcp[1:] = np.minimum(lcp[1:], np.minimum(size[order[1:]], size[order[:-1]]))
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(order))
     for a, b in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
@@ -232,6 +231,7 @@ def deep_shallow(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarr
         inside, shared = blind_trie(own, [int.from_bytes(s.ljust(width, b"\0")) for s in own], width)
         order[a:b] = [group[i] for i in inside]
         lcp[a + 1 : b] = shared[1:]
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(size[order[1:]], size[order[:-1]]))  # padding isn't shared
     return order, lcp
 
 

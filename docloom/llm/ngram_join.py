@@ -40,11 +40,11 @@ from docloom.llm.shared import slices, table, written
 WORDS = 3
 NUMERATOR, DENOMINATOR = 90, 100
 PIVOTS = 64
-LATER_PIVOTS = 256
+LATER_PIVOTS = 1024
 CHUNK = 256
 #: Ids of documents with candidates are broadcast up to this many; beyond it they join by a shuffle.
 BROADCAST_ROWS = 2_000_000
-MOST_WORDS_KNOWN = 500_000
+MOST_WORDS_KNOWN = 250_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 

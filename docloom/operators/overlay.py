@@ -6,13 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def match_spans(docs: DataFrame, text: str, pattern: str, rule: int, state: int = 0) -> DataFrame:
-    """doc_id, rule, match, a, b, state of all matches, leftmost and non-overlapping; offsets count characters from 0."""
-    between, found = F.split(F.col(text), pattern, -1), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    lengths = docs.select("doc_id", F.transform(between, F.length).alias("gaps"), F.transform(found, F.length).alias("sizes"))
-    at = F.expr("aggregate(slice(gaps, 1, i + 1), 0, (x, y) -> x + y) + aggregate(slice(sizes, 1, i), 0, (x, y) -> x + y)")
-    each = lengths.where("size(sizes) > 0").select("doc_id", "gaps", "sizes", F.posexplode("sizes").alias("i", "size")).select("doc_id", "i", at.alias("a"), "size")
-    return each.select("doc_id", F.lit(rule).alias("rule"), F.col("i").alias("match"), "a", (F.col("a") + F.col("size")).alias("b"), F.lit(state).alias("state"))
+def match_spans(text: Column, pattern: str, rule: int, state: int = 0) -> Column:
+    """An array of rule, match, a, b, state of all matches, leftmost and non-overlapping; offsets count characters from 0.
+
+    A match starts after the lengths of all matches before it and of what stands between them.
+    """
+    sizes = F.zip_with(
+        F.transform(F.split(text, pattern, -1), F.length), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length),
+        lambda gap, size: F.struct(gap.alias("gap"), size.alias("size")),
+    )
+    empty = F.array().cast("array<struct<rule:int,match:int,a:int,b:int,state:int>>")
+    found = F.aggregate(
+        F.filter(sizes, lambda x: x["size"].isNotNull()),
+        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
+        lambda done, x: F.struct(
+            (done["at"] + x["gap"] + x["size"]).alias("at"),
+            F.concat(done["spans"], F.array(F.struct(F.lit(rule).alias("rule"), F.size(done["spans"]).alias("match"), (done["at"] + x["gap"]).alias("a"), (done["at"] + x["gap"] + x["size"]).alias("b"), F.lit(state).alias("state")))).alias("spans"),
+        ),
+    )
+    return found["spans"]
 
 
 def overlay(spans: DataFrame) -> DataFrame:

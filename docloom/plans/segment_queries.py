@@ -17,10 +17,11 @@ RULES = [
 
 
 def _simple_spans(docs: DataFrame) -> DataFrame:
-    whole = docs.select("doc_id", F.lit(-1).alias("rule"), F.lit(0).alias("match"), F.lit(0).alias("a"), F.length("tex").alias("b"), F.lit(1).alias("state"))
-    for number, pattern in enumerate(RULES):
-        whole = whole.union(overlay.match_spans(docs, "tex", pattern, number))
-    return whole
+    """All rules' spans from one scan, over a span of the whole text that is transformed."""
+    text = F.col("tex")
+    whole = F.array(F.struct(F.lit(-1).alias("rule"), F.lit(0).alias("match"), F.lit(0).alias("a"), F.length(text).alias("b"), F.lit(1).alias("state")))
+    every = F.concat(whole, *[overlay.match_spans(text, pattern, number) for number, pattern in enumerate(RULES)])
+    return docs.select("doc_id", F.explode(every).alias("s")).select("doc_id", "s.*")
 
 
 def _runs(docs: DataFrame) -> DataFrame:

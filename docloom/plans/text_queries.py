@@ -49,7 +49,7 @@ def escape_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", tex.repaired(result, original).alias("repaired"))
 
 
-@query()
+@query(r"""SELECT doc_id, '\cite{a,b:c} x，y \ref{' || replace(replace(text, '：', ':'), '，', ',') || ':z}' AS fixed FROM documents""")
 def fullwidth_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.concat(F.lit(r"\cite{a，b：c} x，y \ref{"), "text", F.lit("：z}"))

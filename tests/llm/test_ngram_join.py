@@ -74,7 +74,8 @@ def test_empty(spark):
 def test_one_of_each_group_stays(spark):
     if not hasattr(ngram_join, "first_of_classes"):
         pytest.skip("no pipeline form")
-    rows = corpus(6) + [(3, "same words in all of these"), (4, "same words in all of these"), (3, "same words in all of these")]
+    rows = [(k, t) for k, (_, t) in enumerate(corpus(6))]
+    rows += [(9003, "same words in all of these"), (9004, "same words in all of these"), (9003, "same words in all of these")]
     df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, class_id string")
     kept = ngram_join.first_of_classes(df)
     assert kept.columns == df.columns

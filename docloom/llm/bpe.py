@@ -34,12 +34,12 @@ from docloom.llm.shared import slices, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD = 400
-WORDS_PER_QUERY = 32_000
+WORDS_PER_QUERY = 16_000
 #: Entries a worker remembers, of words and of parts; it starts anew beyond them.
-WORD_CACHE, PART_CACHE = 1_000_000, 200_000
-DUCKDB_MB = 250
+WORD_CACHE, PART_CACHE = 500_000, 60_000
+DUCKDB_MB = 150
 #: Text that is encoded at a time.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 #: A space that doesn't start a word: the text is then matched as a whole.
 LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
@@ -187,6 +187,15 @@ class Codec:
         return [list(map(get, parts)) for parts in cut]
 
 
+def release() -> None:
+    """At a partition's end: the worker may go on with other work, so only a small part of what it knows stays."""
+    for known in _CODECS.values():
+        known.parts = {}
+        if len(known.words) > WORD_CACHE // 2:
+            known.words = {}
+    pa.default_memory_pool().release_unused()
+
+
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -208,6 +217,7 @@ def encode(documents: DataFrame, path: str | None = None, pattern: str = public_
             found = codec(path, pattern).encode(batch.column("text").to_pylist())
             ids = [np.fromstring(",".join(p[1] for p in parts if p[0]), np.int32, sep=",") for parts in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        release()
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, ids array<int>")
 
@@ -241,6 +251,7 @@ def digests(documents: DataFrame, path: str | None = None, pattern: str = public
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        release()
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

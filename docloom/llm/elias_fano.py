@@ -30,11 +30,13 @@ class EliasFano:
         low = (values & np.uint64((1 << l) - 1)).view(np.int64)
         bits = np.zeros((n * l + 7) // 8 + 9, np.uint8)
         if l and n:
-            packed = np.empty((n, l), np.uint8)
-            for b in range(l):
-                packed[:, b] = low >> b & 1
-            packed = np.packbits(packed.ravel(), bitorder="little")
-            bits[: len(packed)] = packed
+            for at in range(0, n, 65536):  # a multiple of 8 values ends on a byte
+                part = low[at : at + 65536]
+                packed = np.empty((len(part), l), np.uint8)
+                for b in range(l):
+                    packed[:, b] = part >> b & 1
+                packed = np.packbits(packed.ravel(), bitorder="little")
+                bits[at * l // 8 : at * l // 8 + len(packed)] = packed
         self.low = mapped(bits)
         ones = (values >> np.uint64(l)).astype(np.int64) + np.arange(n)
         unary = np.zeros((int(ones[-1]) // 64 + 1) * 64 if n else 64, np.uint8)

@@ -37,11 +37,11 @@ from docloom.llm.shared import held_out_id, slices, table, written
 MODULUS = 10
 SPREAD, PRIOR = 2.3, 5.0
 ADDED = 0.1
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 9 << 20
 #: Ways in which a context's successors are dealt.
 FAN = 8
 HALF = 24
-MOST_WORDS_KNOWN = 600_000
+MOST_WORDS_KNOWN = 250_000
 END = xxh3_64_intdigest(b"")
 START = xxh3_64_intdigest(b"\n")  # no word
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -193,24 +193,26 @@ def _split(rows: int):
                 number, held, size = number + 1, [], 0
         if held:
             yield from block(held, held[0].column("doc_id").type)
+        _KNOWN.clear()
 
     return run
 
 
 def _answer(t: pa.Table) -> pa.Table:
     """A shard: add the counts of all blocks, build the trie, answer each block."""
-    bodies = t["body"].to_pylist()
-    parts = [[expand(x) for x in b] for b in bodies]
+    parts = [[expand(x) for x in b] for b in t["body"].to_pylist()]
+    n = len(parts)
     words, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     counts = np.bincount(which, weights=np.concatenate([p[1] for p in parts]).astype(np.float64), minlength=len(words)).astype(np.int64)
     word_answers = np.split(counts[which], np.cumsum([len(p[0]) for p in parts])[:-1])
+    ends = np.cumsum([len(p[2]) for p in parts])[:-1]
     keys, which = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
     pair_counts = np.bincount(which, weights=np.concatenate([p[3] for p in parts]).astype(np.float64), minlength=len(keys))
+    del parts
     known = pair_counts > 0
     trie = Trie(keys[known], pair_counts[known])
-    codes = np.split(trie.lookup(keys)[which], np.cumsum([len(p[2]) for p in parts])[:-1])
+    codes = np.split(trie.lookup(keys)[which], ends)
     answers = [[squeeze(w), squeeze(c)] for w, c in zip(word_answers, codes, strict=True)]
-    n = len(bodies)
     totals = [[int(counts.sum()), int((counts > 0).sum())]] + [[0, 0]] * (n - 1)
     return pa.table({"block": t["block"], "shard": t["shard"], "ids": pa.nulls(n, t.schema.field("ids").type), "body": pa.array(answers, pa.list_(pa.binary())), "tokens": pa.array([x[0] for x in totals], pa.int64()), "types": pa.array([x[1] for x in totals], pa.int64())})
 
@@ -255,7 +257,8 @@ def _start_parts(rows: int) -> tuple[np.ndarray, ...]:
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark, kind = documents.sparkSession, dict(documents.dtypes)["doc_id"]
-    rows = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // FAN)  # FAN times this many shards
+    # FAN times this many shards, two for each partition: what a task holds is half of one.
+    rows = -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // FAN)
     layout = f"block long, shard int, ids array<{kind}>, body array<binary>"
     blocks = written(documents.select("doc_id", "text").mapInArrow(_split(rows), layout), "blocks")
     answers = written(blocks.where("shard >= 0").groupBy("shard").applyInArrow(_answer, layout + ", tokens long, types long"), "answers")

@@ -36,8 +36,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, and the digest of the bytes that the ids decode to."""
-    return bpe.encode(docs)
+    """doc_id and the ids of its text."""
+    return bpe.encode(docs, cache=150_000)  # the workers also serve the other stages
 
 
 STAGES = [

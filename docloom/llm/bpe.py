@@ -34,12 +34,12 @@ from docloom.llm.shared import slices, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD = 400
-WORDS_PER_QUERY = 16_000
-#: Entries a worker remembers, of words and of parts; it starts anew beyond them.
-WORD_CACHE, PART_CACHE = 500_000, 60_000
-DUCKDB_MB = 150
+WORDS_PER_QUERY = 32_000
+#: Words a worker remembers, and a fifth as many parts of texts; it starts anew beyond them.
+WORD_CACHE = 1_000_000
+DUCKDB_MB = 250
 #: Text that is encoded at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 6 << 20
 
 #: A space that doesn't start a word: the text is then matched as a whole.
 LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
@@ -81,8 +81,8 @@ def _byte_offsets(tokens: pa.Array, lists: pa.Array) -> np.ndarray:
 class Codec:
     """The tables of a vocabulary in DuckDB, and what pieces encoded to before."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.match = ranks, regex.compile(pattern).findall
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = WORD_CACHE) -> None:
+        self.cache, self.ranks, self.match = cache, ranks, regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}  # to their ids, four bytes each
         self.parts: dict[str, tuple[int, str, bytes]] = {}
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
@@ -178,9 +178,9 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[list[tuple[int, str, bytes]]]:
         """For each text its parts' numbers of ids, ids and decoded bytes."""
         cut = [self.split(x) if x else [] for x in texts]
-        if len(self.parts) > PART_CACHE:
+        if len(self.parts) > self.cache // 5:
             self.parts.clear()
-        if len(self.words) > WORD_CACHE:
+        if len(self.words) > self.cache:
             self.words.clear()
         self.learn({x for parts in cut for x in parts})
         get = self.parts.__getitem__
@@ -188,33 +188,34 @@ class Codec:
 
 
 def release() -> None:
-    """At a partition's end: the worker may go on with other work, so only a small part of what it knows stays."""
+    """At a partition's end: the worker may go on with other work, so parts are forgotten; words stay."""
     for known in _CODECS.values():
         known.parts = {}
-        if len(known.words) > WORD_CACHE // 2:
-            known.words = {}
     pa.default_memory_pool().release_unused()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, cache: int = WORD_CACHE) -> Codec:
     """A worker keeps one vocabulary's codec over the tasks it runs."""
-    if (path, pattern) not in _CODECS:
+    if (path, pattern, cache) not in _CODECS:
         _CODECS.clear()
         gc.disable()  # the caches hold millions of entries and no cycles
-        _CODECS[path, pattern] = Codec(read_ranks(path), pattern)
-    return _CODECS[path, pattern]
+        _CODECS[path, pattern, cache] = Codec(read_ranks(path), pattern, cache)
+    return _CODECS[path, pattern, cache]
 
 
-def encode(documents: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id and ids (array of int). path: of a rank file, which every executor has at that place."""
+def encode(documents: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, cache: int = WORD_CACHE) -> DataFrame:
+    """doc_id and ids (array of int). path: of a rank file, which every executor has at that place.
+
+    cache: a smaller one trades time for the workers' memory.
+    """
     path = path or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE_BYTES):
-            found = codec(path, pattern).encode(batch.column("text").to_pylist())
+        for batch in slices(batches, "text", min(SLICE_BYTES, 16 * cache)):
+            found = codec(path, pattern, cache).encode(batch.column("text").to_pylist())
             ids = [np.fromstring(",".join(p[1] for p in parts if p[0]), np.int32, sep=",") for parts in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
         release()

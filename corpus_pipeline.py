@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    return ngram_join.first_of_classes(docs)
+    """Of each group of documents linked by five-word shingles, from 0.8 on, the one with the smallest doc_id stays."""
+    return ngram_join.first_of_classes(docs, words=5, least=(80, 100))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

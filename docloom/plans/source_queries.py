@@ -56,7 +56,10 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"""WITH RECURSIVE {_TREE}, r AS (SELECT doc_id AS root, doc_id AS node, 0 AS depth FROM t WHERE k = 1 UNION ALL SELECT r.root, e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.node WHERE r.depth < 32)
 SELECT root, node, depth::BIGINT AS depth FROM r""")
 def include_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlay.include_tree(*_tree(spark, sf_dir)).withColumn("depth", F.col("depth").cast("long"))
+    """Without what closes a cycle; a tree deeper than the bound is an error."""
+    found = overlay.include_tree(*_tree(spark, sf_dir)).where("flag IS NULL OR flag = 'deeper'")
+    depth = F.when(F.col("flag").isNull(), F.col("depth").cast("long")).otherwise(F.raise_error(F.lit("include tree too deep")).cast("long"))
+    return found.select("root", "node", depth.alias("depth"))
 
 
 @query("""WITH f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a/F' ELSE 'a/f' END || doc_id || '.tex' AS path FROM documents),

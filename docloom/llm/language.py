@@ -8,8 +8,8 @@ proportions of languages; the language set is then chosen by likelihood less a p
 
 Defined results: null text, text without a letter, and any text if nothing could be learned, gives "und" with score 0
 and no proportions. Ties go to the language that sorts first. Repeated rows give equal rows (and count twice when
-learning); other columns than doc_id, text and lang aren't read; lang only when learning. Of more than MOST_LANGUAGES
-values of lang, those with the most documents are learned.
+learning); other columns than doc_id, text and lang aren't read; lang only when learning. All values of lang are learned;
+the driver and every worker hold the model, 64 KB for each.
 """
 
 from __future__ import annotations
@@ -28,9 +28,8 @@ BUCKETS = 1 << 14
 SEGMENT = 48
 ROUNDS = 8
 SMOOTHING = 0.5
-#: The model's bound: 16384 doubles for each language.
-MOST_LANGUAGES = 256
-MOST_IN_SET = 4
+#: Counts of so many languages are held by a learning task at once, and texts cut smaller for a model of more.
+LANGUAGES_HELD = 64
 MODULUS = 5
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -56,26 +55,33 @@ def learn(documents: DataFrame) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            for lang, n in total.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+            total.clear()
+
         for batch in slices(batches, "text", 4 << 20):
             langs = np.array(batch.column("lang").to_pylist(), object)
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             for lang in set(langs):
                 code, _ = trigrams([texts[i] for i in np.flatnonzero(langs == lang)])
                 total[lang] = total.get(lang, 0) + np.bincount(code, minlength=BUCKETS)
-        for lang, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
-
-    known = documents.where("lang IS NOT NULL AND text IS NOT NULL")
-    chosen = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
-    if not chosen:
-        return Model([], np.zeros((0, BUCKETS)))
-    counted = known.where(F.col("lang").isin(chosen)).select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    n = np.full((len(chosen), BUCKETS), SMOOTHING)
-    place = {x: i for i, x in enumerate(chosen)}
-    found = counted.toArrow()  # at most MOST_LANGUAGES * BUCKETS rows
-    np.add.at(n, ([place[x] for x in found["lang"].to_pylist()], found["bucket"].to_numpy()), found["n"].to_numpy())
-    return Model(chosen, np.log(n / n.sum(axis=1, keepdims=True)))
+                if len(total) > LANGUAGES_HELD:
+                    yield from counts()
+        yield from counts()
+
+    def smoothed(own: pa.Table) -> pa.Table:
+        n = np.full(BUCKETS, SMOOTHING)
+        n[own.column("bucket").to_numpy()] += own.column("n").to_numpy()
+        logp = np.log(n / n.sum()).astype(np.float32)
+        return pa.table([pa.array(own.column("lang").to_pylist()[:1], pa.string()), pa.array([logp.tobytes()], pa.binary())], ["lang", "logp"])
+
+    known = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    counted = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = sorted((r["lang"], bytes(r["logp"])) for r in counted.groupBy("lang").applyInArrow(smoothed, "lang string, logp binary").collect())
+    return Model([x for x, _ in found], np.frombuffer(b"".join(row for _, row in found), np.float32).reshape(len(found), BUCKETS))
 
 
 def mixture(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +112,7 @@ def mixture(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     best_share, best_value = np.zeros_like(share), np.full(len(texts), -np.inf)
     open_ = np.ones(len(texts), bool)
     allowed = np.zeros_like(share)
-    for size in range(1, min(k, MOST_IN_SET) + 1):
+    for size in range(1, k + 1):
         allowed[np.arange(len(texts)), order[:, size - 1]] = 1
         own, value = fit(allowed)
         value = value - size * 0.5 * np.log(np.maximum(per_doc, 2)) * SEGMENT / 8
@@ -117,6 +123,11 @@ def mixture(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return share, best_share
 
 
+def _texts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Slices that take about as much memory with more languages."""
+    return slices(batches, "text", (4 << 20) * LANGUAGES_HELD // max(LANGUAGES_HELD, len(model.languages)))
+
+
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, list]:
     """For each text its language, that language's proportion, and the proportions of the chosen set."""
     names = model.languages
@@ -135,7 +146,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (the language's proportion) and languages (proportions of the chosen set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in _texts(batches, model):
             pred, score, sets = predict(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "languages"])
 
@@ -146,7 +157,7 @@ def accepted(documents: DataFrame, model: Model, least: float = 0.25) -> DataFra
     """The rows, with all their columns, that have a language of at least this proportion; a null lang becomes it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in _texts(batches, model):
             pred, score, _ = predict(model, batch.column("text").to_pylist())
             langs = [a if a is not None else b for a, b in zip(batch.column("lang").to_pylist(), pred, strict=True)]
             at = batch.schema.get_field_index("lang")

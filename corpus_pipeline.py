@@ -15,7 +15,7 @@ from docloom.llm.shared import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts, texts without letters, mixtures without a language of a quarter."""
+    """Documents without a language go: null texts and texts without letters."""
     return language.accepted(docs, language.learn(language.learned_part(docs)))
 
 

@@ -153,16 +153,16 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, lang_pred string, score double, languages map<string,double>")
 
 
-def accepted(documents: DataFrame, model: Model, least: float = 0.25) -> DataFrame:
-    """The rows, with all their columns, that have a language of at least this proportion; a null lang becomes it."""
+def accepted(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows, with all their columns, that have a language, whatever its proportion; a null lang becomes it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _texts(batches, model):
-            pred, score, _ = predict(model, batch.column("text").to_pylist())
+            pred, _, _ = predict(model, batch.column("text").to_pylist())
             langs = [a if a is not None else b for a, b in zip(batch.column("lang").to_pylist(), pred, strict=True)]
             at = batch.schema.get_field_index("lang")
             columns = [pa.array(langs, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-            keep = [p != "und" and s >= least for p, s in zip(pred, score.tolist(), strict=True)]
+            keep = [p != "und" for p in pred]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

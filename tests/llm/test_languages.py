@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from docloom.llm import language
 
@@ -34,3 +33,10 @@ def test_sets_of_more_than_four(spark, six):
     model, text = six
     got = language.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
     assert set(got["languages"]) == {f"l{i}" for i in range(6)}
+
+
+def test_even_mixtures_are_accepted(spark, six):
+    model, text = six
+    rows = [(1, text, "l0"), (2, "12 34", "l0"), (3, None, "l0")]
+    got = language.accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert [r["doc_id"] for r in got] == [1]

@@ -207,7 +207,7 @@ def codec(path: str, pattern: str, cache: int = WORD_CACHE) -> Codec:
 
 
 def encode(documents: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, cache: int = WORD_CACHE) -> DataFrame:
-    """doc_id and ids (array of int). path: of a rank file, which every executor has at that place.
+    """doc_id, ids (array of int) and decoded_sha256, the digest of the bytes they decode to. path: of a rank file, which every executor has at that place.
 
     cache: a smaller one trades time for the workers' memory.
     """
@@ -217,10 +217,11 @@ def encode(documents: DataFrame, path: str | None = None, pattern: str = public_
         for batch in slices(batches, "text", min(SLICE_BYTES, 16 * cache)):
             found = codec(path, pattern, cache).encode(batch.column("text").to_pylist())
             ids = [np.fromstring(",".join(p[1] for p in parts if p[0]), np.int32, sep=",") for parts in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            back = [hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest() for parts in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "ids", "decoded_sha256"])
         release()
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, ids array<int>")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, ids array<int>, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

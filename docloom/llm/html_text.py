@@ -4,7 +4,10 @@ A page is parsed to a tree, tolerating unclosed and stray tags. Each paragraph e
 comma and each hundred characters up to three, and passes them to its ancestors: all to the parent, half to the next,
 less beyond. A container's score is discounted by its link density. The best container is kept (widened to the article
 or main element it is in), and those of its siblings that score well or read like text; parts that are menus, headers,
-footers, sidebars, notices, adverts, forms, scripts or comments by their tag, class, id or role never count.
+footers, sidebars, notices, adverts, forms, scripts or comments by their tag, class, id or role never count. Outside an
+article or main element, lists, divs and sections that are mostly links don't either. Inside one, these stay, and the
+words in class and id count for containers, not for headings, paragraphs, list items, cells and quotations; what remains
+dropped there is what the tag, role or hiding says, and containers named by such a word.
 
 Defined results: null or empty html, or a page without text outside those parts, gives an empty text. A page too short
 for any score keeps its article, main or body. Repeated rows give equal rows; other columns aren't read.
@@ -36,17 +39,19 @@ disqus footer form header login masthead menu modal nav navbar navigation newsle
 promoted recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget""".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 MAIN = frozenset(("article", "main"))
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcaption".split())
 SHORT = 25
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
+    """inside: of an article or main element."""
     if tag in DROPPED:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and not BOILERPLATE.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        if name in ("class", "id") and not (inside and tag in PARAGRAPHS) and not BOILERPLATE.isdisjoint(re.split(r"[^a-z0-9]+", value)):
             return True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -57,7 +62,7 @@ class _Page:
     """Nodes in page order (a node comes after its parent) and blocks of text, each owned by a node."""
 
     def __init__(self, source: str) -> None:
-        self.tags, self.parents, self.dropped = ["#"], [0], [False]
+        self.tags, self.parents, self.dropped, self.inside = ["#"], [0], [False], [False]
         self.owner: list[int] = []
         self.text: list[str] = []
         self.linked: list[int] = []
@@ -152,7 +157,8 @@ class _Page:
                 flush()
             self.tags.append(tag)
             self.parents.append(stack[-1])
-            self.dropped.append(self.dropped[stack[-1]] or _boilerplate(tag, m[3]))
+            self.dropped.append(self.dropped[stack[-1]] or _boilerplate(tag, m[3], self.inside[stack[-1]]))
+            self.inside.append(self.inside[stack[-1]] or tag in MAIN)
             stack.append(len(self.tags) - 1)
             if tag == "a":
                 links += 1
@@ -163,9 +169,6 @@ class _Page:
         flush()
 
 
-PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcaption".split())
-
-
 def main_text(source: str | None) -> str:
     """The article's blocks, joined by newlines."""
     if not source:
@@ -204,7 +207,7 @@ def main_text(source: str | None) -> str:
             if parents[i] == parents[best] and (score[i] >= least or tags[i] == "p" and density[i] < 0.25 and chars[i] > 80):
                 kept[i] = True
     for i in range(1, n):
-        kept[i] = kept[i] or kept[parents[i]] and not (tags[i] in ("ul", "ol", "div", "section") and density[i] > 0.7)
+        kept[i] = kept[i] or kept[parents[i]] and not (tags[i] in ("ul", "ol", "div", "section") and density[i] > 0.7 and not page.inside[i])
     return "\n".join(t for o, t in zip(page.owner, page.text, strict=True) if kept[o])
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,22 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors see.
+
+    Where it is unset, as in tests, a temporary one of a local session; on a cluster no folder is known to be shared.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "docloom-checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -34,11 +43,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.docloom_path = path
+    for names in _SCRATCH[-1:]:
+        names.append(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unwritten(df: DataFrame | None) -> None:
+    """Remove what written() wrote: nothing that is still to be computed may read it."""
+    if df is not None:
+        _remove(df.sparkSession, [df.docloom_path])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what operators within have written for themselves."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        _remove(spark, _SCRATCH.pop())
+
+
 def held_out(doc_id: Column, modulus: int) -> Column:
     """True where crc32 of the decimal doc_id is divisible by modulus; null ids are held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == 0, F.lit(True))
@@ -48,10 +82,14 @@ def held_out_id(doc_id: int | None, modulus: int) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % modulus == 0
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the text of a slice is about most_bytes; one longer row is a slice of its own."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20, most_rows: int = 4096, item_bytes: int = 0) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that the text of a slice is about most_bytes; one longer row is a slice of its own.
+
+    item_bytes: of a column of lists, the bytes of an item.
+    """
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        own = batch.column(column)
+        sizes = pa.compute.fill_null(pa.compute.multiply(pa.compute.list_value_length(own), item_bytes) if item_bytes else pa.compute.binary_length(own), 0).to_pylist()
         at, total = 0, 0
         for i, n in enumerate(sizes):
             if i > at and (total + n > most_bytes or i - at >= most_rows):
@@ -62,6 +100,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             yield batch.slice(at)
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: Spark's Python workers live on and go on with other work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with its memory given back at a partition's end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,13 +30,35 @@ def test_any_text(text):
     check(text)
 
 
-@pytest.mark.parametrize("n", [bpe.LONG_WORD - 1, bpe.LONG_WORD + 1, 3000])
+@pytest.mark.parametrize("n", [bpe.SHORT - 1, bpe.SHORT + 1, 3000, bpe.BLOCK + 5000])
 def test_long_words(n):
     pick = random.Random(n)
     check("".join(pick.choice("abcdetion") for _ in range(n)))
     check("a" * n)
 
 
+@pytest.mark.parametrize("signs", ["ab", "aet", "=-", "the", "in gt", "\u4e2d\u6587\u7684", "0123456789", "a\u00e9\U0001f642"])
+@pytest.mark.parametrize("block", [70, 100_000])
+def test_neighbourhoods(signs, block, monkeypatch):
+    """Words of few signs, where many pairs tie, whole and in blocks."""
+    monkeypatch.setattr(bpe, "SHORT", 3)
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    pick = random.Random(signs)
+    words = ["".join(pick.choice(signs) for _ in range(pick.randrange(2, 200))).encode() for _ in range(8)] + [signs[0].encode() * 300]
+    flat, ends = CODEC.encode_words(words)
+    for w, a, b in zip(words, [0, *ends], ends, strict=False):
+        assert flat[a:b].tolist() == ENCODING._encode_single_piece(w)
+
+
+def test_many_long_words():
+    """Contraction keeps no row of every step of every word."""
+    pick = random.Random(7)
+    words = [bytes(pick.choice(b"0123456789abcdef") for _ in range(100)) for _ in range(5_000)] + [bytes(pick.choice(b"etaoinshr") for _ in range(pick.randrange(50, 2000))) for _ in range(100)]
+    flat, ends = CODEC.encode_words(words)
+    for i in [*range(0, 5_000, 200), *range(5_000, len(words))]:
+        assert flat[ends[i - 1] if i else 0 : ends[i]].tolist() == ENCODING._encode_single_piece(words[i])
+
+
 def test_very_long_text():
     pick = random.Random(2)
     check(" ".join("".join(pick.choice("etaoin") for _ in range(pick.randrange(1, 9))) for _ in range(50_000)))

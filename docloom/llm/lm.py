@@ -1,27 +1,35 @@
-"""LM scoring: a word bigram model in Elias-Fano tries.
+"""LM scoring: a word trigram model in Elias-Fano tries.
 
-Tokens are the lower-cased words of a text and its end. The model interpolates a bigram with the smoothed unigram:
+Tokens are the lower-cased words of a text and its end. The model interpolates trigrams, bigrams and smoothed unigrams:
 
-    P(w | v) = (c(v w) + m P(w)) / (c(v) + m),  m = SPREAD c(v) + PRIOR,  P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    P(w | u v) = a(u v w) + b(u v) P(w | v),   P(w | v) = a(v w) + b(v) P(w),   P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    a(h w) = c(h w) / (c(h) + m),  b(h) = m / (c(h) + m),  m = SPREAD c(h) + PRIOR
 
-with counts over all training documents. The tries grow with the corpus, so they are dealt over shards and nobody
-holds them whole: a unigram is in the shard of its hash, a bigram in that of both words' hashes, so that the successors
-of a frequent word spread over several shards. A block of documents sends each shard its distinct words and bigrams,
-once each and compressed, with their training counts; the shard adds the counts of all blocks, builds its trie and
-answers each block. A trie's first level is the rising list of contexts, with rising pointers to the ranges of their
-successors; successors are stored relative to their context's place, which makes the second level one rising list.
-Both are Elias-Fano sequences in memory maps; a lookup searches the successor in its context's range. Counts c(v w),
-to which smoothing with both words' unigrams is applied when scoring, are quantised to a byte each.
+with counts over all training documents. A text's first word has no trigram, its context is the start. The tries grow
+with the corpus, so they are dealt over shards of a fixed number of tokens, and nobody holds them whole:
 
-Words are known by 64-bit hashes, a context and a successor within a shard by 24 bits each.
+* Documents are cut into blocks, written with their words' hashes and their tokens as places among these.
+* Each block sends the shards of words its distinct words and their training counts, which answer with c(w).
+* A trigram is in the shard of its middle word v, so that bigrams v w and contexts u v are whole there. A word that is
+  more than a fourth of a shard's share of all tokens is hot: its trigrams are dealt by u too (and by w, if u v itself
+  is hot), its bigrams by w, and the counts of hot contexts, a bounded list, are known to all.
+* A shard adds the counts of all blocks, builds its trie and answers each block's n-grams with codes.
 
-Defined results: null text has the end token only; without training documents every probability of the unigram is 1;
-rows with a null doc_id are held out. Repeated rows count and score alike. Other columns aren't read.
+A trie knows its words by dense ids. Its first level is the rising list of contexts v, with rising pointers to their
+successors w and to the words u before them; these second levels are one rising list each, as they are stored relative
+to their context's place; the words u point on to the third level, successors of u v relative to its place. All are
+Elias-Fano sequences in memory maps, with the smoothed probabilities a and the weights b, quantised to 12 bits and a byte. A
+lookup searches the successor in its context's range, level by level.
+
+Words are known by 64-bit hashes. Defined results: null text has the end token only; without training documents every
+probability of the unigram is 1; rows with a null doc_id are held out. Repeated rows count and score alike; ids may be
+of any type. A very long text is a block of its own. Other columns aren't read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +40,23 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from docloom.llm.elias_fano import EliasFano, mapped
-from docloom.llm.shared import held_out_id, slices, table, written
+from docloom.llm.shared import freed, give_back, held_out_id, slices, table, written
 
 MODULUS = 10
 SPREAD, PRIOR = 2.3, 5.0
 ADDED = 0.1
-BLOCK_BYTES = 9 << 20
-#: Ways in which a context's successors are dealt.
-FAN = 8
-HALF = 24
+BLOCK_BYTES = 6 << 20
+#: Tokens of a shard, and how many times more words than n-grams' tokens a shard of words takes.
+SHARD_TOKENS = 1_200_000
+WORDS_FACTOR = 6
+#: A context is hot from this share of all tokens on, if a fourth of a shard's share isn't less.
+HOT_SHARE = 1 / 512
 MOST_WORDS_KNOWN = 250_000
 END = xxh3_64_intdigest(b"")
 START = xxh3_64_intdigest(b"\n")  # no word
-_M = np.uint64(0x9E3779B97F4A7C15)
+_M, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_32 = np.uint64(32)
+_LOW = np.uint64((1 << 32) - 1)
 
 
 class _Words(dict):
@@ -56,218 +68,445 @@ class _Words(dict):
 _KNOWN = _Words()
 
 
-def squeeze(values: np.ndarray, rising: bool = False) -> bytes:
-    """Unsigned integers by byte planes, differences first if they rise, compressed."""
-    v = values.astype(np.uint64)
-    if rising and len(v):
-        v = np.diff(v, prepend=np.uint64(0))
-    wide = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
-    planes = np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T)
-    return bytes([wide, rising]) + len(v).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _32)) * _M2
+    return x ^ (x >> np.uint64(29))
 
 
-def expand(data: bytes) -> np.ndarray:
-    wide, rising, n = data[0], data[1], int.from_bytes(data[2:10], "little")
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[10:], max_output_size=wide * n + 1), np.uint8).reshape(wide, n)
-    v = np.zeros((n, 8), np.uint8)
-    v[:, :wide] = planes.T
-    v = v.view("<u8")[:, 0].astype(np.uint64)
-    return np.cumsum(v, dtype=np.uint64) if rising else v
+def pack(arrays: list[np.ndarray], rising: int = -1) -> bytes:
+    """Unsigned integers by byte planes, compressed together; the array of this number by its differences."""
+    heads, planes = [len(arrays).to_bytes(1, "little")], []
+    for i, a in enumerate(arrays):
+        v = a.astype(np.uint64)
+        if i == rising and len(v):
+            v = np.diff(v, prepend=np.uint64(0))
+        wide = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
+        heads.append(bytes([wide, i == rising]) + len(v).to_bytes(6, "little"))
+        planes.append(np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes())
+    return b"".join(heads) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-#: Counts up to 32 have a code of their own; then a code stands for a range growing by a twentieth.
-LEVELS = np.unique(np.concatenate((np.arange(33), np.floor(32 * 1.09 ** np.arange(1, 223)))))[:256]
+def unpack(data: bytes) -> list[np.ndarray]:
+    n = data[0]
+    heads = [(data[at], data[at + 1], int.from_bytes(data[at + 2 : at + 8], "little")) for at in range(1, 1 + 8 * n, 8)]
+    raw = zstandard.ZstdDecompressor().decompress(data[1 + 8 * n :], max_output_size=1 + sum(w * k for w, _, k in heads))
+    out, at = [], 0
+    for wide, rising, k in heads:
+        v = np.zeros((k, 8), np.uint8)
+        v[:, :wide] = np.frombuffer(raw, np.uint8, wide * k, at).reshape(wide, k).T
+        at += wide * k
+        v = v.view("<u8")[:, 0].astype(np.uint64)
+        out.append(np.cumsum(v, dtype=np.uint64) if rising else v)
+    return out
 
 
-def quantised(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.searchsorted(LEVELS, counts, side="right") - 1, len(LEVELS) - 1).astype(np.uint8)
+#: Probabilities by their logarithm, so many steps a decade, code 0 for none; weights between the least and 1 in 255 steps.
+STEPS, MOST = 500, 4095
+LEAST = SPREAD / (1 + SPREAD)
 
 
-class Trie:
-    """Contexts, pointers, successors relative to their context's place, and a byte for each."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """keys: rising, context << HALF | successor."""
-        context = keys >> np.uint64(HALF)
-        first = np.flatnonzero(np.diff(context, prepend=~np.uint64(0)))
-        self.contexts = EliasFano(context[first], 1 << HALF)
-        self.pointers = EliasFano(np.append(first, len(keys)), len(keys) + 1)
-        place = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.append(first, len(keys))))
-        self.successors = EliasFano(place << np.uint64(HALF) | keys & np.uint64((1 << HALF) - 1), max(1, len(first)) << HALF)
-        self.codes = mapped(quantised(counts))
-
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """The code of each key (rising), 0 for those that don't occur."""
-        out = np.zeros(len(keys), np.uint8)
-        if not len(keys) or not len(self.contexts):
-            return out
-        context = keys >> np.uint64(HALF)
-        first = np.flatnonzero(np.diff(context, prepend=~np.uint64(0)))
-        n = np.full(len(first), len(self.contexts))
-        place = self.contexts.search(np.zeros(len(first), np.int64), n, context[first])
-        place = np.repeat(place, np.diff(np.append(first, len(keys))))
-        known = np.flatnonzero(place >= 0)
-        place = place[known]
-        a, b = self.pointers[place].astype(np.int64), self.pointers[place + 1].astype(np.int64)
-        want = place.astype(np.uint64) << np.uint64(HALF) | keys[known] & np.uint64((1 << HALF) - 1)
-        at = self.successors.search(a, b, want)
-        out[known[at >= 0]] = self.codes[at[at >= 0]]
+def coded(p: np.ndarray) -> np.ndarray:
+    return np.where(p > 0, np.clip(np.round(1 - STEPS * np.log10(np.maximum(p, 1e-30))), 1, MOST), 0).astype(np.uint16)
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, 10.0 ** ((1 - codes.astype(np.float64)) / STEPS), 0.0)
+
+
+def weight_code(b: np.ndarray) -> np.ndarray:
+    return np.round((b - LEAST) / (1 - LEAST) * 255).astype(np.uint8)
+
+
+def weight(codes: np.ndarray) -> np.ndarray:
+    return LEAST + codes.astype(np.float64) / 255 * (1 - LEAST)
+
+
+def weights(counts: np.ndarray) -> np.ndarray:
+    """b of contexts with these counts."""
+    m = SPREAD * counts + PRIOR
+    return m / (counts + m)
+
+
+def probabilities(counts: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """a of n-grams with these counts in contexts with those."""
+    return counts / (contexts * (1 + SPREAD) + PRIOR)
+
+
+class Level:
+    """Rising items, each relative to its parent's place, with a code for each."""
+
+    def __init__(self, parents: np.ndarray, items: np.ndarray, codes: np.ndarray, n_parents: int, bits: int) -> None:
+        self.bits = np.uint64(bits)
+        self.items = EliasFano(parents.astype(np.uint64) << self.bits | items.astype(np.uint64), max(1, n_parents) << bits)
+        self.pointers = EliasFano(np.searchsorted(parents, np.arange(n_parents + 1)), len(items) + 1)
+        self.codes = mapped(codes)
+
+    def places(self, parents: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """The place of each item below its parent's place, -1 for one that isn't there or has no parent."""
+        out = np.full(len(items), -1, np.int64)
+        known = np.flatnonzero(parents >= 0)
+        at = parents[known]
+        a, b = self.pointers[at].astype(np.int64), self.pointers[at + 1].astype(np.int64)
+        out[known] = self.items.search(a, b, at.astype(np.uint64) << self.bits | items[known].astype(np.uint64))
         return out
 
+    def code(self, places: np.ndarray, without: int) -> np.ndarray:
+        out = np.full(len(places), without, self.codes.dtype)
+        out[places >= 0] = self.codes[places[places >= 0]]
+        return out
 
-class _Block:
-    """A block's words (by shard, then hash), its tokens as places in them, and its bigrams (by shard, then key)."""
 
-    def __init__(self, words: np.ndarray, rows: int) -> None:
-        self.words, self.rows = words, rows
+class Trie:
+    """The trigrams and bigrams of a shard; keys are rising and of dense ids below 2 ** bits."""
 
-    @staticmethod
-    def word_shard(words: np.ndarray, rows: int) -> np.ndarray:
-        return (words >> np.uint64(8)) % np.uint64(rows * FAN)
+    def __init__(self, tri: np.ndarray, tri_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, bi: np.ndarray, bi_counts: np.ndarray, heads: np.ndarray, head_counts: np.ndarray, bits: int) -> None:
+        """heads: the contexts v; pairs: v << 32 | u; bi: v << 32 | w; tri: place in pairs << 32 | w. All have counts above 0 but heads and pairs."""
+        self.heads = EliasFano(heads, 1 << bits)
+        self.head_codes = mapped(weight_code(weights(head_counts)))
+        of = lambda keys: np.searchsorted(heads, keys >> _32)
+        self.successors = Level(of(bi), bi & _LOW, coded(probabilities(bi_counts, head_counts[of(bi)])), len(heads), bits)
+        self.before = Level(of(pairs), pairs & _LOW, weight_code(weights(pair_counts)), len(heads), bits)
+        place = (tri >> _32).astype(np.int64)
+        self.third = Level(place, tri & _LOW, coded(probabilities(tri_counts, pair_counts[place])), len(pairs), bits)
+
+    def head(self, v: np.ndarray) -> np.ndarray:
+        return self.heads.search(np.zeros(len(v), np.int64), np.full(len(v), len(self.heads)), v.astype(np.uint64))
+
+
+@dataclass
+class Hot:
+    """Contexts that are dealt over several shards, by hash, rising, with their counts."""
 
-    def pair_keys(self, stream: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shard << 2 * HALF | context << HALF | successor of every token, and the token's context (-1: the start)."""
-        context = np.append(-1, stream[:-1])
-        context[starts] = -1
-        of = np.append(self.words, np.uint64(START))  # -1 finds it
-        mixed = of * _M ^ (of * _M >> np.uint64(29))
-        v, w = mixed[context], mixed[stream]
-        shard = (v >> np.uint64(8)) % np.uint64(self.rows) * np.uint64(FAN) + (w >> np.uint64(8)) % np.uint64(FAN)
-        return shard << np.uint64(2 * HALF) | v >> np.uint64(64 - HALF) << np.uint64(HALF) | w >> np.uint64(64 - HALF), context
+    words: np.ndarray
+    word_counts: np.ndarray
+    pairs: np.ndarray
+    pair_counts: np.ndarray
 
+    @staticmethod
+    def pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return mix(u * _M + np.uint64(1)) ^ v * _M
 
-def _split(rows: int):
-    """Blocks' document rows (shard -1) and what they send to each shard."""
+    @staticmethod
+    def count_of(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The count of each key, -1 for those that aren't hot."""
+        if not len(known):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, counts[at], -1)
+
+
+class Block:
+    """Documents' tokens as places among the block's words, and what of them goes to which shard."""
+
+    def __init__(self, words: np.ndarray, stream: np.ndarray, sizes: np.ndarray, train: np.ndarray) -> None:
+        """words: rising hashes, the start's among them."""
+        self.words, self.stream, self.sizes = words, stream.astype(np.int64), sizes.astype(np.int64)
+        self.train = train.astype(bool)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.learned = np.repeat(self.train, self.sizes)
+        start = int(np.searchsorted(words, np.uint64(START)))
+        # The words before each token; the first of a text has the start alone before it.
+        self.v = np.append(start, self.stream[:-1])
+        self.v[self.starts] = start
+        self.u = np.append(start, self.v[:-1])
+        self.first = np.zeros(len(self.stream), bool)
+        self.first[self.starts] = True
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.stream[self.learned], minlength=len(self.words))
+
+    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and training counts of the contexts u v."""
+        own = self.learned & ~self.first
+        found, n = np.unique(self.v[own] << 32 | self.u[own], return_counts=True)
+        return Hot.pair_key(self.words[found & 0xFFFFFFFF], self.words[found >> 32]), n
+
+    def word_order(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        shard = (mix(self.words) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        return order, shard[order]
+
+    def grams(self, shards: int, hot: Hot) -> None:
+        """Sort the distinct trigrams and the bigrams of hot words by shard. Of all others the shard has the bigrams from the trigrams."""
+        h = mix(self.words)
+        n = np.uint64(shards)
+        self.hot_count = Hot.count_of(self.words, hot.words, hot.word_counts)
+        is_hot = self.hot_count >= 0
+        inner = np.flatnonzero(~self.first)
+        pairs, self.pair_of = np.unique(self.v[inner] << 32 | self.u[inner], return_inverse=True)
+        pv, pu = pairs >> 32, pairs & 0xFFFFFFFF
+        self.pair_hot = Hot.count_of(Hot.pair_key(self.words[pu], self.words[pv]), hot.pairs, hot.pair_counts)
+        spread = self.pair_hot >= 0
+        pair_shard = np.where(is_hot[pv], mix(h[pv] * _M + h[pu]) % n, h[pv] % n)
+        tri, which = np.unique(self.pair_of << 32 | self.stream[inner], return_inverse=True)
+        pair, w = tri >> 32, tri & 0xFFFFFFFF
+        shard = np.where(spread[pair], mix(mix(h[pv[pair]] * _M + h[pu[pair]]) + h[w]) % n, pair_shard[pair]).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        self.inner, self.tri_of = inner, back[which]
+        self.tri = pv[pair][order], pu[pair][order], w[order], np.bincount(which[self.learned[inner]], minlength=len(tri))[order], shard[order]
+        # Contexts u v that aren't hot, by shard.
+        quiet = np.flatnonzero(~spread)
+        quiet = quiet[np.argsort(pair_shard[quiet], kind="stable")]
+        self.pair_place = np.full(len(pairs), -1)
+        self.pair_place[quiet] = np.arange(len(quiet))
+        # Bigrams of hot words and of the start.
+        self.loud = np.flatnonzero(is_hot[self.v])
+        bi, which = np.unique(self.v[self.loud] << 32 | self.stream[self.loud], return_inverse=True)
+        bv, bw = bi >> 32, bi & 0xFFFFFFFF
+        shard = (mix(h[bv] * _M2 + h[bw]) % n).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        self.loud_of = back[which]
+        self.bi = bv[order], bw[order], np.bincount(which[self.learned[self.loud]], minlength=len(bi))[order], shard[order]
+        # Bigrams of other words, and these words, by shard.
+        self.soft = np.flatnonzero(~is_hot[self.v])
+        soft, which = np.unique(self.v[self.soft] << 32 | self.stream[self.soft], return_inverse=True)
+        order = np.argsort((h[soft >> 32] % n).astype(np.int64), kind="stable")
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        self.soft_of = back[which]
+        heads = np.unique(self.v[self.soft])
+        heads = heads[np.argsort((h[heads] % n).astype(np.int64), kind="stable")]
+        self.head_place = np.full(len(self.words), -1)
+        self.head_place[heads] = np.arange(len(heads))
+
+    def messages(self, shards: int) -> Iterator[tuple[int, bytes]]:
+        every = np.arange(shards)
+        a, b = np.searchsorted(self.tri[4], every), np.searchsorted(self.tri[4], every, side="right")
+        c, d = np.searchsorted(self.bi[3], every), np.searchsorted(self.bi[3], every, side="right")
+        for s in np.flatnonzero((a < b) | (c < d)).tolist():
+            t, q = [x[a[s] : b[s]] for x in self.tri[:4]], [x[c[s] : d[s]] for x in self.bi[:3]]
+            names, local = np.unique(np.concatenate((t[0], t[1], t[2], q[0], q[1])), return_inverse=True)
+            cuts = np.cumsum([len(t[0])] * 3 + [len(q[0])])
+            v, u, w, bv, bw = np.split(local, cuts)
+            yield s, pack([self.words[names], v, u, w, t[3], bv, bw, q[2]], rising=0)
+
+
+def _held(body: bytes) -> Block:
+    return Block(*unpack(body))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, ids, body, and the numbers of tokens, of training tokens and of training documents."""
+    task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        if len(_KNOWN) > MOST_WORDS_KNOWN:
+            _KNOWN.clear()
+        ids = [x for p in parts for x in p.column("doc_id").to_pylist()]
+        train = np.array([not held_out_id(i, MODULUS) for i in ids])
+        streams = []
+        for p in parts:
+            for text in p.column("text"):
+                w = (text.as_py() or "").encode().lower().split()
+                s = np.empty(len(w) + 1, np.uint64)
+                s[:-1] = np.fromiter(map(_KNOWN.__getitem__, w), np.uint64, len(w))
+                s[-1] = END
+                streams.append(s)
+        sizes = np.array([len(s) for s in streams])
+        words, stream = np.unique(np.concatenate([*streams, np.array([START], np.uint64)]), return_inverse=True)
+        body = pack([words, stream[:-1], sizes, train], rising=0)
+        facts = [len(stream) - 1, int(sizes[train].sum()), int(train.sum())]
+        columns = [pa.array([task << 32 | number], pa.int64()), pa.array([ids], pa.list_(parts[0].column("doc_id").type)), pa.array([body], pa.binary()), *(pa.array([x], pa.int64()) for x in facts)]
+        return pa.RecordBatch.from_arrays(columns, ["block", "ids", "body", "tokens", "learned", "documents"])
+
+    for part in slices(batches, "text", BLOCK_BYTES, 1 << 20):
+        held.append(part)
+        size += part.column("text").nbytes
+        if size >= BLOCK_BYTES:
+            yield block(held)
+            number, held, size = number + 1, [], 0
+    if held:
+        yield block(held)
+    _KNOWN.clear()
+
+
+_SENT = "block long, shard int, body binary"
+
+
+def _sends(messages: Callable[[Block], Iterator[tuple[int, bytes]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What the blocks send to shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-        names = ["block", "shard", "ids", "body"]
-
-        def block(parts: list[pa.RecordBatch], doc_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-            if len(_KNOWN) > MOST_WORDS_KNOWN:
-                _KNOWN.clear()
-            ids = [x for p in parts for x in p.column("doc_id").to_pylist()]
-            streams, train = [], np.array([not held_out_id(i, MODULUS) for i in ids])
-            for p in parts:
-                for text in p.column("text").to_pylist():
-                    w = (text or "").encode().lower().split()
-                    s = np.empty(len(w) + 1, np.uint64)
-                    s[:-1] = np.fromiter(map(_KNOWN.__getitem__, w), np.uint64, len(w))
-                    s[-1] = END
-                    streams.append(s)
-            sizes = np.array([len(s) for s in streams])
-            words, stream = np.unique(np.concatenate(streams), return_inverse=True)
-            shard = _Block.word_shard(words, rows)
-            order = np.argsort(shard, kind="stable")
-            back = np.empty_like(order)
-            back[order] = np.arange(len(order))
-            words, shard, stream = words[order], shard[order], back[stream]
-            learned = np.repeat(train, sizes)
-            counts = np.bincount(stream[learned], minlength=len(words))
-            starts = np.cumsum(sizes) - sizes
-            keys, _ = _Block(words, rows).pair_keys(stream, starts)
-            pairs, which = np.unique(keys, return_inverse=True)
-            pair_counts = np.bincount(which[learned], minlength=len(pairs))
-            pair_shard = pairs >> np.uint64(2 * HALF)
-            # The stream, what the words' places in shards are, and the sizes make the block again.
-            mixed = words * _M ^ (words * _M >> np.uint64(29))
-            doc = [squeeze(stream), squeeze(sizes), squeeze(train), squeeze((mixed >> np.uint64(8)) % np.uint64(rows)), squeeze((mixed >> np.uint64(8)) % np.uint64(FAN)), squeeze(mixed >> np.uint64(64 - HALF))]
-            this = task << 32 | number
-            bodies, shards, lists = [doc], [-1], [ids]
-            every = np.arange(rows * FAN)
-            a, b = np.searchsorted(shard, every), np.searchsorted(shard, every, side="right")
-            c, d = np.searchsorted(pair_shard, every), np.searchsorted(pair_shard, every, side="right")
-            inner = np.uint64((1 << 2 * HALF) - 1)
-            for s in every:
-                if a[s] < b[s] or c[s] < d[s]:
-                    bodies.append([squeeze(words[a[s] : b[s]], True), squeeze(counts[a[s] : b[s]]), squeeze(pairs[c[s] : d[s]] & inner, True), squeeze(pair_counts[c[s] : d[s]])])
-                    shards.append(int(s))
-                    lists.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array([this] * len(shards), pa.int64()), pa.array(shards, pa.int32()), pa.array(lists, pa.list_(doc_type)), pa.array(bodies, pa.list_(pa.binary()))], names)
-
-        for part in slices(batches, "text", BLOCK_BYTES, 1 << 20):
-            held.append(part)
-            size += part.column("text").nbytes
-            if size >= BLOCK_BYTES:
-                yield from block(held, part.column("doc_id").type)
-                number, held, size = number + 1, [], 0
-        if held:
-            yield from block(held, held[0].column("doc_id").type)
-        _KNOWN.clear()
+        for batch in batches:
+            for this, body in zip(batch.column("block").to_pylist(), batch.column("body"), strict=True):
+                found = list(messages(_held(body.as_py())))
+                columns = [pa.array([this] * len(found), pa.int64()), pa.array([s for s, _ in found], pa.int32()), pa.array([m for _, m in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "shard", "body"])
+
+    return freed(run)
+
+
+def _word_messages(shards: int) -> Callable[[Block], Iterator[tuple[int, bytes]]]:
+    def messages(block: Block) -> Iterator[tuple[int, bytes]]:
+        order, shard = block.word_order(shards)
+        counts, every = block.counts()[order], np.arange(shards)
+        a, b = np.searchsorted(shard, every), np.searchsorted(shard, every, side="right")
+        for s in np.flatnonzero(a < b).tolist():
+            yield s, pack([block.words[order[a[s] : b[s]]], counts[a[s] : b[s]]], rising=0)
+
+    return messages
+
+
+def _count_words(hot: int) -> Callable[[pa.Table], pa.Table]:
+    """A shard of words: the counts over all blocks for each block, the number of types, and words with at least so many."""
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [unpack(b.as_py()) for b in t["body"]]
+        words, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        counts = np.bincount(which, np.concatenate([p[1] for p in parts]).astype(np.float64), len(words)).astype(np.int64)
+        answers = np.split(counts[which], np.cumsum([len(p[0]) for p in parts])[:-1])
+        n = len(parts)
+        often = np.flatnonzero(counts >= hot)
+        lists = [[[int(a), int(b)] for a, b in zip(words[often].view(np.int64), counts[often], strict=True)]] + [[]] * (n - 1)
+        out = [t["block"], t["shard"], pa.array([pack([a]) for a in answers], pa.binary()), pa.array([int((counts > 0).sum())] + [0] * (n - 1), pa.int64()), pa.array(lists, pa.list_(pa.list_(pa.int64())))]
+        give_back()
+        return pa.table(out, ["block", "shard", "body", "types", "often"])
 
     return run
 
 
-def _answer(t: pa.Table) -> pa.Table:
+def _pairs(least: float, known: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """key and n of the contexts u v with this share of a block's training tokens, or of the known ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column("body"):
+                block = _held(body.as_py())
+                keys, n = block.pair_counts()
+                keep = n >= least * block.learned.sum() if known is None else np.isin(keys, known)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(n[keep], pa.int64())], ["key", "n"])
+
+    return freed(run)
+
+
+def _answer(hot: Hot) -> Callable[[pa.Table], pa.Table]:
     """A shard: add the counts of all blocks, build the trie, answer each block."""
-    parts = [[expand(x) for x in b] for b in t["body"].to_pylist()]
-    n = len(parts)
-    words, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    counts = np.bincount(which, weights=np.concatenate([p[1] for p in parts]).astype(np.float64), minlength=len(words)).astype(np.int64)
-    word_answers = np.split(counts[which], np.cumsum([len(p[0]) for p in parts])[:-1])
-    ends = np.cumsum([len(p[2]) for p in parts])[:-1]
-    keys, which = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
-    pair_counts = np.bincount(which, weights=np.concatenate([p[3] for p in parts]).astype(np.float64), minlength=len(keys))
-    del parts
-    known = pair_counts > 0
-    trie = Trie(keys[known], pair_counts[known])
-    codes = np.split(trie.lookup(keys)[which], ends)
-    answers = [[squeeze(w), squeeze(c)] for w, c in zip(word_answers, codes, strict=True)]
-    totals = [[int(counts.sum()), int((counts > 0).sum())]] + [[0, 0]] * (n - 1)
-    return pa.table({"block": t["block"], "shard": t["shard"], "ids": pa.nulls(n, t.schema.field("ids").type), "body": pa.array(answers, pa.list_(pa.binary())), "tokens": pa.array([x[0] for x in totals], pa.int64()), "types": pa.array([x[1] for x in totals], pa.int64())})
-
-
-def _finish(rows: int, tokens: int, types: int, documents: int):
-    """Put a block together with its answers and score its documents."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("shard")
-        bodies, ids = t["body"].to_pylist(), t["ids"].to_pylist()[0]
-        doc = [expand(x) for x in bodies[0]]
-        stream, sizes, train = doc[0].astype(np.int64), doc[1].astype(np.int64), doc[2].astype(bool)
-        of_context, of_word, name = (np.append(d, s) for d, s in zip(doc[3:], _start_parts(rows), strict=True))
-        answers = [[expand(x) for x in b] for b in bodies[1:]]
-        counts = np.concatenate([a[0] for a in answers]).astype(np.float64)
-        codes = np.concatenate([a[1] for a in answers]).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        context = np.append(-1, stream[:-1])
-        context[starts] = -1
-        shard = of_context[context] * np.uint64(FAN) + of_word[stream]
-        key = shard << np.uint64(2 * HALF) | name[context] << np.uint64(HALF) | name[stream]
-        _, which = np.unique(key, return_inverse=True)
-        both = LEVELS[codes[which]]
-        c = counts[stream]
-        p = (c + ADDED) / (tokens + ADDED * (types + 1))
-        before = np.append(counts, documents)[context]
-        m = SPREAD * before + PRIOR
-        value = np.log10((both + m * p) / (before + m))
-        base, score = np.add.reduceat(np.log10(p), starts), np.add.reduceat(value, starts)
-        known = np.add.reduceat((c > 0).astype(np.int64), starts)
-        return pa.table({"doc_id": pa.array(ids, t.schema.field("ids").type.value_type), "held_out": ~train, "n_tokens": sizes, "n_known": known, "train_tokens": np.full(len(sizes), tokens), "base_score": base, "score": score})
+        parts = [unpack(b.as_py()) for b in t["body"]]
+        names, dense = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        bits = max(1, len(names).bit_length())
+        dense = np.split(dense.astype(np.uint64), np.cumsum([len(p[0]) for p in parts])[:-1])
+        column = lambda k: np.concatenate([d[p[k].astype(np.int64)] for d, p in zip(dense, parts, strict=True)])
+        v, u, w, bv, bw = (column(k) for k in (1, 2, 3, 5, 6))
+        n, bn = (np.concatenate([p[k] for p in parts]).astype(np.float64) for k in (4, 7))
+        tri_cuts, bi_cuts = np.cumsum([len(p[1]) for p in parts])[:-1], np.cumsum([len(p[5]) for p in parts])[:-1]
+        del parts, dense
+        hot_count = Hot.count_of(names, hot.words, hot.word_counts)
+        pairs, pair_of = np.unique(v << _32 | u, return_inverse=True)
+        tri, tri_of = np.unique(pair_of.astype(np.uint64) << _32 | w, return_inverse=True)
+        tri_n = np.bincount(tri_of, n, len(tri))
+        pair_hot = Hot.count_of(Hot.pair_key(names[(pairs & _LOW).astype(np.int64)], names[(pairs >> _32).astype(np.int64)]), hot.pairs, hot.pair_counts)
+        pair_n = np.where(pair_hot >= 0, pair_hot, np.bincount((tri >> _32).astype(np.int64), tri_n, len(pairs)))
+        quiet = hot_count[v.astype(np.int64)] < 0
+        bi, bi_of = np.unique(np.concatenate((v[quiet] << _32 | w[quiet], bv << _32 | bw)), return_inverse=True)
+        bi_n = np.bincount(bi_of, np.concatenate((n[quiet], bn)), len(bi))
+        heads = np.unique(np.concatenate((v, bv)))
+        head_n = np.bincount(np.searchsorted(heads, bi >> _32), bi_n, len(heads))
+        own = hot_count[heads.astype(np.int64)]
+        head_n = np.where(own >= 0, own, head_n)
+        known_tri, known_bi = tri_n > 0, bi_n > 0
+        trie = Trie(tri[known_tri], tri_n[known_tri], pairs, pair_n, bi[known_bi], bi_n[known_bi], heads, head_n, bits)
+        # Each distinct n-gram is looked up once.
+        place = trie.head(pairs >> _32)
+        before = trie.before.places(place, pairs & _LOW)
+        third = trie.third.places(before[(tri >> _32).astype(np.int64)], tri & _LOW)
+        second = trie.successors.places(trie.head(bi >> _32), bi & _LOW)
+        tri_code, pair_code, bi_code = trie.third.code(third, 0), trie.before.code(before, 255), trie.successors.code(second, 0)
+        head_code = trie.head_codes[trie.head(heads)]
+        # Of each block's n-grams, in its order: trigrams; contexts u v; bigrams and contexts of words that aren't hot; bigrams of hot ones.
+        answers = []
+        loud_of = bi_of[int(quiet.sum()) :]
+        loud = np.split(bi_code[loud_of], bi_cuts)
+        soft_of = np.full(len(v), -1)
+        soft_of[quiet] = bi_of[: int(quiet.sum())]
+        for mine, pair, soft, loud_codes in zip(np.split(tri_of, tri_cuts), np.split(pair_of, tri_cuts), np.split(soft_of, tri_cuts), loud, strict=True):
+            pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
+            pair = pair[pair_hot[pair] < 0]
+            soft = np.unique(soft[soft >= 0])
+            of = np.unique((bi[soft] >> _32).astype(np.int64))
+            answers.append(pack([tri_code[mine], pair_code[pair], bi_code[soft], head_code[np.searchsorted(heads, of.astype(np.uint64))], loud_codes]))
+        out = pa.table([t["block"], t["shard"], pa.array(answers, pa.binary())], ["block", "shard", "body"])
+        give_back()
+        return out
 
     return run
 
 
-def _start_parts(rows: int) -> tuple[np.ndarray, ...]:
-    s = np.array([START], np.uint64)
-    mixed = s * _M ^ (s * _M >> np.uint64(29))
-    return (mixed >> np.uint64(8)) % np.uint64(rows), (mixed >> np.uint64(8)) % np.uint64(FAN), mixed >> np.uint64(64 - HALF)
+def _finish(word_shards: int, shards: int, hot: Hot, tokens: int, types: int) -> Callable[[pa.Table], pa.Table]:
+    """Put a block together with its answers and score its documents."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t["part"].to_pylist(), t["shard"].to_pylist(), range(len(t)), strict=True))
+        bodies = [t["body"][i].as_py() for _, _, i in rows]
+        block = _held(bodies[0])
+        ids = t["ids"][rows[0][2]].as_py()
+        n = sum(part == 1 for part, _, _ in rows)
+        order, _ = block.word_order(word_shards)
+        counts = np.empty(len(block.words))
+        counts[order] = np.concatenate([unpack(b)[0] for b in bodies[1 : 1 + n]])
+        block.grams(shards, hot)
+        answers = [unpack(b) for b in bodies[1 + n :]]
+        tri, pair, soft, head, loud = (np.concatenate([a[k] for a in answers]) if answers else np.zeros(0, np.uint64) for k in range(5))
+        c = counts[block.stream]
+        p1 = (c + ADDED) / (tokens + ADDED * (types + 1))
+        a2, b2 = np.zeros(len(c)), np.ones(len(c))
+        a2[block.loud] = decoded(loud)[block.loud_of]
+        a2[block.soft] = decoded(soft)[block.soft_of]
+        b2[block.loud] = weight(weight_code(weights(block.hot_count[block.v[block.loud]])))
+        b2[block.soft] = weight(head[block.head_place[block.v[block.soft]]])
+        p = a2 + b2 * p1
+        a3, b3 = decoded(tri)[block.tri_of], weight(weight_code(weights(np.maximum(block.pair_hot, 0))))
+        b3[block.pair_place >= 0] = weight(pair[block.pair_place[block.pair_place >= 0]])
+        p[block.inner] = a3 + b3[block.pair_of] * p[block.inner]
+        base, score = np.add.reduceat(np.log10(p1), block.starts), np.add.reduceat(np.log10(p), block.starts)
+        known = np.add.reduceat((c > 0).astype(np.int64), block.starts)
+        out = {"doc_id": pa.array(ids, t.schema.field("ids").type.value_type), "held_out": ~block.train, "n_tokens": block.sizes, "n_known": known, "train_tokens": np.full(len(ids), tokens), "base_score": base, "score": score}
+        del block, answers
+        give_back()
+        return pa.table(out)
+
+    return run
 
 
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark, kind = documents.sparkSession, dict(documents.dtypes)["doc_id"]
-    # FAN times this many shards, two for each partition: what a task holds is half of one.
-    rows = -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // FAN)
-    layout = f"block long, shard int, ids array<{kind}>, body array<binary>"
-    blocks = written(documents.select("doc_id", "text").mapInArrow(_split(rows), layout), "blocks")
-    answers = written(blocks.where("shard >= 0").groupBy("shard").applyInArrow(_answer, layout + ", tokens long, types long"), "answers")
-    total = answers.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
-    tokens, types = total["tokens"] or 0, total["types"] or 0
-    learned = documents.where(~(F.crc32(F.col("doc_id").cast("string").cast("binary")) % MODULUS == 0)).count()
-
-    whole = blocks.where("shard < 0").union(answers.select("block", "shard", "ids", "body"))
-    return whole.groupBy("block").applyInArrow(_finish(rows, tokens, types, learned), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    kind = dict(documents.dtypes)["doc_id"]
+    blocks = written(documents.select("doc_id", "text").mapInArrow(freed(_blocks), f"block long, ids array<{kind}>, body binary, tokens long, learned long, documents long"), "blocks")
+    facts = blocks.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tokens", "learned", "documents"))).first()
+    shards = max(1, -(-facts["tokens"] // SHARD_TOKENS))
+    word_shards = -(-shards // WORDS_FACTOR)
+    bodies = blocks.select("block", "body")
+    # Shares of tokens from which on contexts are dealt over shards; the lists of them are bounded by their inverse.
+    share = min(HOT_SHARE, 1 / (4 * shards))
+    least = max(1, int(share * facts["learned"]))
+    words = bodies.mapInArrow(_sends(_word_messages(word_shards)), _SENT).groupBy("shard")
+    words = written(words.applyInArrow(_count_words(least), _SENT + ", types long, often array<array<long>>"), "words")
+    types = words.agg(F.sum("types").alias("types")).first()["types"] or 0
+    often = {np.uint64(r["x"][0] % (1 << 64)): r["x"][1] for r in words.where("size(often) > 0").select(F.explode("often").alias("x")).collect()}
+    often = dict(sorted((often | {np.uint64(START): facts["documents"]}).items()))
+    # A pair with this share of all has a fourth of it in blocks that hold three quarters of its occurrences.
+    found = bodies.mapInArrow(_pairs(share / 4, None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= 0.75 * share * facts["learned"])
+    keys = np.array([r["key"] for r in found.collect()], np.int64).view(np.uint64)
+    counted = bodies.mapInArrow(_pairs(0, keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect() if len(keys) else []
+    pairs = dict(sorted((np.uint64(r["key"] % (1 << 64)), r["n"]) for r in counted))
+    lists = [np.array(list(x), t) for d in (often, pairs) for x, t in ((d.keys(), np.uint64), (d.values(), np.int64))]
+    hot = Hot(*lists)
+
+    def messages(block: Block) -> Iterator[tuple[int, bytes]]:
+        block.grams(shards, hot)
+        return block.messages(shards)
+
+    answers = written(bodies.mapInArrow(_sends(messages), _SENT).groupBy("shard").applyInArrow(_answer(hot), _SENT), "answers")
+    none = F.lit(None).cast(f"array<{kind}>").alias("ids")
+    rows = blocks.select("block", F.lit(0).alias("part"), F.lit(-1).alias("shard"), "ids", "body")
+    for part, df in ((1, words), (2, answers)):
+        rows = rows.union(df.select("block", F.lit(part).alias("part"), "shard", none, "body"))
+    return rows.groupBy("block").applyInArrow(_finish(word_shards, shards, hot, facts["learned"], types), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

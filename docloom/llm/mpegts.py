@@ -6,7 +6,9 @@ transport packets. The first packet of a PES packet marks a random-access point
 short last packet is filled by adaptation-field stuffing, so the payload comes back byte by byte.
 
 Reading checks sync bytes, the tables' CRCs and every continuity counter, follows the program tables to the stream's
-packets, reassembles the PES packets, and returns the payload with the timestamps and their random-access points.
+packets, reassembles the PES packets, and returns the payload with the timestamps and their random-access points. It
+also takes tables over several packets, several programmes and streams, null packets, packets that carry an adaptation
+field alone or are sent twice, indicated discontinuities, and PES packets of no stated length or without a timestamp.
 All work on one document stays in its task; memory is about four times its size.
 
 Defined results: a null text is an empty payload (64 zero bytes). Damaged streams raise ValueError. Repeated rows give
@@ -113,56 +115,103 @@ def mux(payload: bytes) -> bytes:
 @dataclass
 class Stream:
     payload: bytes
-    #: Of each PES packet: its timestamp and whether it starts at a random-access point.
-    timestamps: list[int]
+    #: Of each PES packet: its timestamp (null without one) and whether it starts at a random-access point.
+    timestamps: list[int | None]
     random_access: list[bool]
     packets: int
     stream_type: int
+    pid: int
 
 
-def _tables(packets: np.ndarray, pids: np.ndarray, pid: int) -> bytes:
-    at = np.flatnonzero((pids == pid) & (packets[:, 1] & 0x40 != 0))
-    if not len(at):
-        raise ValueError(f"no table with pid {pid}")
-    body = packets[at[0]].tobytes()[4:]
-    body = body[1 + body[0] :]
-    size = 3 + (struct.unpack(">H", body[1:3])[0] & 0x0FFF)
-    if crc32_mpeg(body[:size]):
-        raise ValueError(f"the table with pid {pid} has a wrong CRC")
-    return body[8 : size - 4]
-
-
-def demux(media: bytes) -> Stream:
-    """Parse the tables, check the counters, put the PES packets together."""
+@dataclass
+class _Carried:
+    """The payloads of a pid's packets, one after another, with each one's start and what its header says."""
+
+    data: bytes
+    at: np.ndarray
+    starts: np.ndarray
+    random_access: np.ndarray
+
+
+def _carried(packets: np.ndarray) -> _Carried:
+    """Check the counters of one pid. Packets without payload and those sent twice carry nothing."""
+    has_field, has_payload = packets[:, 3] & 0x20 != 0, packets[:, 3] & 0x10 != 0
+    size = np.where(has_field, packets[:, 4].astype(np.int32), 0)
+    if (size > PACKET - 5).any():
+        raise ValueError("an adaptation field longer than its packet")
+    flags = np.where(size > 0, packets[:, 5], 0)
+    # An indicated discontinuity holds for the next packet with a payload too.
+    jump = flags & 0x80 != 0
+    own, jump = packets[has_payload], np.logical_or.reduceat(jump, np.append(0, np.flatnonzero(has_payload)[:-1] + 1)) if has_payload.any() else jump[:0]
+    flags, skip = flags[has_payload], np.where(has_field, 5 + size, 4)[has_payload]
+    step = np.diff(own[:, 3] & 15) & 15
+    again = np.append(False, (step == 0) & (own[1:, 4:] == own[:-1, 4:]).all(axis=1))
+    if (~((step == 1) | again[1:] | jump[1:])).any() or (again[1:] & again[:-1]).any():
+        raise ValueError("a continuity counter is wrong")
+    own, flags, skip = own[~again], flags[~again], skip[~again]
+    data = own[np.arange(PACKET) >= skip[:, None]].tobytes()
+    return _Carried(data, np.concatenate(([0], np.cumsum(PACKET - skip))), np.flatnonzero(own[:, 1] & 0x40), flags & 0x40 != 0)
+
+
+def _table(packets: np.ndarray, pids: np.ndarray, pid: int, table_id: int) -> tuple[int, bytes]:
+    """Number and body of the first section in force, which may lie in several packets."""
+    found = _carried(packets[pids == pid])
+    for i in found.starts:
+        body = found.data[found.at[i] :]
+        body = body[1 + body[0] :] if body else body
+        while len(body) >= 3 and body[0] != 0xFF:
+            size = 3 + (struct.unpack(">H", body[1:3])[0] & 0x0FFF)
+            if body[0] == table_id and len(body) >= size > 12:
+                if crc32_mpeg(body[:size]):
+                    raise ValueError(f"the table with pid {pid} has a wrong CRC")
+                if body[5] & 1:
+                    return struct.unpack(">H", body[3:5])[0], body[8 : size - 4]
+            body = body[size:]
+    raise ValueError(f"no table with pid {pid}")
+
+
+def streams(media: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The packets, their pids, and programme, type and pid of every elementary stream that the tables list."""
     if not media or len(media) % PACKET:
         raise ValueError("not a whole number of transport packets")
     packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    if (packets[:, 0] != SYNC).any():
-        raise ValueError("a packet without its sync byte")
+    if (packets[:, 0] != SYNC).any() or (packets[:, 1] & 0x80).any():
+        raise ValueError("a packet without its sync byte, or marked as damaged")
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    pmt = struct.unpack(">HH", _tables(packets, pids, PAT_PID)[:4])[1] & 0x1FFF
-    programme = _tables(packets, pids, pmt)
-    kind, stream_pid = struct.unpack(">BH", programme[4 + (struct.unpack(">H", programme[2:4])[0] & 0x0FFF) :][:3])
-    own = packets[pids == stream_pid & 0x1FFF]
-    if ((np.diff(own[:, 3] & 15) & 15) != 1).any():
-        raise ValueError("a continuity counter is wrong")
-    has_field = own[:, 3] & 0x20 != 0
-    skip = np.where(has_field, 5 + own[:, 4].astype(np.int32), 4)
-    starts = np.flatnonzero(own[:, 1] & 0x40)
-    keep = np.arange(PACKET) >= skip[:, None]
-    data = own[keep].tobytes()
-    at = np.concatenate(([0], np.cumsum(PACKET - skip)))
+    _, programmes = _table(packets, pids, PAT_PID, 0x00)
+    out = []
+    for at in range(0, len(programmes) - 3, 4):
+        number, pid = struct.unpack(">HH", programmes[at : at + 4])
+        if number:  # 0 is the network's table
+            _, body = _table(packets, pids, pid & 0x1FFF, 0x02)
+            at_stream = 4 + (struct.unpack(">H", body[2:4])[0] & 0x0FFF)
+            while at_stream + 5 <= len(body):
+                kind, stream_pid, info = struct.unpack(">BHH", body[at_stream : at_stream + 5])
+                out.append((number, kind, stream_pid & 0x1FFF))
+                at_stream += 5 + (info & 0x0FFF)
+    if not out:
+        raise ValueError("no stream")
+    return packets, pids, out
+
+
+def demux(media: bytes, number: int = 0) -> Stream:
+    """Parse the tables, check the counters, put the PES packets of the stream with this number in the tables together."""
+    packets, pids, found = streams(media)
+    _, kind, pid = found[number]
+    own = _carried(packets[pids == pid])
     parts, times = [], []
-    for i, j in zip(starts, [*starts[1:], len(own)], strict=True):
-        pes = data[at[i] : at[j]]
-        size = struct.unpack(">H", pes[4:6])[0]
-        if pes[:3] != b"\0\0\1" or len(pes) != 6 + size:
+    for i, j in zip(own.starts, [*own.starts[1:], len(own.at) - 1], strict=True):
+        pes = own.data[own.at[i] : own.at[j]]
+        size = struct.unpack(">H", pes[4:6])[0]  # 0: up to the next start
+        if len(pes) < 14 or pes[:3] != b"\0\0\1" or size and len(pes) != 6 + size:
             raise ValueError("a broken PES packet")
-        a, b, c = struct.unpack(">BHH", pes[9:14])
-        times.append((a & 0x0E) << 29 | (b & 0xFFFE) << 14 | c >> 1)
+        time = None
+        if pes[7] & 0x80:
+            a, b, c = struct.unpack(">BHH", pes[9:14])
+            time = (a & 0x0E) << 29 | (b & 0xFFFE) << 14 | c >> 1
+        times.append(time)
         parts.append(pes[9 + pes[8] :])
-    random_access = (has_field[starts] & (own[starts, 5] & 0x40 != 0)).tolist()
-    return Stream(b"".join(parts), times, random_access, len(packets), kind)
+    return Stream(b"".join(parts), times, own.random_access[own.starts].tolist(), len(packets), kind, pid)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,10 @@
 Learning counts hashed byte trigrams of lower-cased text for each language over all learning documents; the model is
 their smoothed log probabilities, of a fixed size for each language. A document is cut into segments of SEGMENT
 trigrams; each segment's likelihood under each language is the product over its trigrams. EM estimates the document's
-proportions of languages; the language set is then chosen by likelihood less a penalty for each language
-(BIC: half the log of the number of segments), growing by the next language while that pays.
+proportions of languages, until no proportion changes by more than CLOSE; the language set is then chosen by
+log-likelihood less a penalty, growing by the next language while that pays. The penalty of a language is PENALTY times
+that of BIC (half the log of the number of segments), as trigrams that overlap aren't independent and make a segment's
+likelihood that much sharper. The score is the best language's proportion in the chosen set.
 
 Defined results: null text, text without a letter, and any text if nothing could be learned, gives "und" with score 0
 and no proportions. Ties go to the language that sorts first. Repeated rows give equal rows (and count twice when
@@ -22,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import held_out, packed, slices, table
+from docloom.llm.shared import freed, held_out, packed, slices, table
 
 BUCKETS = 1 << 14
 SEGMENT = 48
-ROUNDS = 8
+PENALTY = 6.0
+CLOSE = 1e-4
+#: EM steps that no document needs: proportions that still change then are as likely as any.
+ROUNDS = 500
 SMOOTHING = 0.5
 #: Counts of so many languages are held by a learning task at once, and texts cut smaller for a model of more.
 LANGUAGES_HELD = 64
@@ -79,13 +84,13 @@ def learn(documents: DataFrame) -> Model:
         return pa.table([pa.array(own.column("lang").to_pylist()[:1], pa.string()), pa.array([logp.tobytes()], pa.binary())], ["lang", "logp"])
 
     known = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    counted = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = known.mapInArrow(freed(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = sorted((r["lang"], bytes(r["logp"])) for r in counted.groupBy("lang").applyInArrow(smoothed, "lang string, logp binary").collect())
     return Model([x for x, _ in found], np.frombuffer(b"".join(row for _, row in found), np.float32).reshape(len(found), BUCKETS))
 
 
-def mixture(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the languages' proportions, and which of them are in its set."""
+def mixture(model: Model, texts: list[bytes]) -> np.ndarray:
+    """For each text the languages' proportions, 0 for those that aren't in its set."""
     code, sizes = trigrams(texts)
     per_doc = -(-sizes // SEGMENT)
     first = np.cumsum(per_doc) - per_doc
@@ -99,11 +104,18 @@ def mixture(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     def fit(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         share = allowed / allowed.sum(axis=1, keepdims=True)
+        going = np.flatnonzero(allowed.sum(axis=1) > 1)  # texts whose proportions still change
         for _ in range(ROUNDS):
-            part = ratio * share[doc]
-            total = part.sum(axis=1, keepdims=True)
-            part /= np.maximum(total, 1e-300)
-            share = np.add.reduceat(part, first, axis=0) / per_doc[:, None]
+            if not len(going):
+                break
+            n = per_doc[going]
+            at = np.cumsum(n) - n
+            part = ratio[np.arange(n.sum()) + np.repeat(first[going] - at, n)] * share[np.repeat(going, n)]
+            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
+            new = np.add.reduceat(part, at, axis=0) / n[:, None]
+            moved = np.abs(new - share[going]).max(axis=1) > CLOSE
+            share[going] = new
+            going = going[moved]
         total = (ratio * share[doc]).sum(axis=1)
         return share, base + np.add.reduceat(np.log(np.maximum(total, 1e-300)), first)
 
@@ -115,12 +127,12 @@ def mixture(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for size in range(1, k + 1):
         allowed[np.arange(len(texts)), order[:, size - 1]] = 1
         own, value = fit(allowed)
-        value = value - size * 0.5 * np.log(np.maximum(per_doc, 2)) * SEGMENT / 8
+        value = value - size * PENALTY * 0.5 * np.log(np.maximum(per_doc, 2))
         open_ &= value > best_value
         best_share[open_], best_value[open_] = own[open_], value[open_]
         if not open_.any():
             break
-    return share, best_share
+    return best_share
 
 
 def _texts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -134,10 +146,10 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     use = [i for i, t in enumerate(texts) if names and t and LETTER.search(t)]
     pred, score, sets = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
     if use:
-        share, chosen = mixture(model, [texts[i].encode() for i in use])
+        chosen = mixture(model, [texts[i].encode() for i in use])
         best = np.argmax(chosen, axis=1)
         for row, i in enumerate(use):
-            pred[i], score[i] = names[best[row]], min(1.0, share[row, best[row]])
+            pred[i], score[i] = names[best[row]], min(1.0, chosen[row, best[row]])
             sets[i] = [(names[j], float(chosen[row, j])) for j in np.flatnonzero(chosen[row] > 0)]
     return pred, score, sets
 
@@ -150,7 +162,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             pred, score, sets = predict(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "languages"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, lang_pred string, score double, languages map<string,double>")
+    return documents.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {dict(documents.dtypes)['doc_id']}, lang_pred string, score double, languages map<string,double>")
 
 
 def accepted(documents: DataFrame, model: Model) -> DataFrame:
@@ -165,7 +177,7 @@ def accepted(documents: DataFrame, model: Model) -> DataFrame:
             keep = [p != "und" for p in pred]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(freed(run), documents.schema)
 
 
 def learned_part(documents: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ A text's tokens are its runs of letters, digits and other signs; a token has a f
 uni- to trigrams of shapes, weighted by relative frequency; a score is the sparse dot product with the weights.
 
 Training takes at most TRAIN_ROWS labelled documents, those with the smallest hash of doc_id (a documented bound: the
-weights are BUCKETS numbers and stop changing long before). They are read by a broadcast join of their ids, so texts
-aren't shuffled; one task makes FTRL-proximal passes over them. Scoring covers every document.
+weights are BUCKETS numbers and stop changing long before), of texts up to TRAIN_TEXT bytes and in that order up to
+TRAIN_BYTES together. They are read by a broadcast join of their ids, so texts aren't shuffled; one task makes
+FTRL-proximal passes over them. Scoring covers every document, whole.
 
 Defined results: null text is empty; a text without tokens has only the bias; without usable labels, or with one class
-only, every score follows the prior. A document with several labels takes the largest. Repeated rows give equal rows;
+only, every score follows the prior. A document with several labels takes the largest; ids may be of any type. Repeated rows give equal rows;
 of other columns only doc_id and text are read.
 """
 
@@ -19,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from docloom.llm.shared import held_out, packed, slices, table
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 8000
+TRAIN_TEXT, TRAIN_BYTES = 1 << 20, 128 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
 SCALE = 24.0
@@ -137,14 +140,17 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
         model = ftrl([r[2].encode() for r in rows], [r[1] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias])], ["weights", "bias"])
 
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sizes = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).where(F.col("size") <= TRAIN_TEXT).join(F.broadcast(chosen), "doc_id")
+    most = sizes.groupBy("doc_id", "quality").agg(F.sum("size").alias("size"))  # TRAIN_ROWS rows at most
+    fits = most.withColumn("total", F.sum("size").over(Window.orderBy(order, "doc_id"))).where(F.col("total") <= TRAIN_BYTES).select("doc_id", "quality")
+    sample = documents.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_TEXT).join(F.broadcast(fits), "doc_id")
     found = sample.repartition(1).mapInArrow(fit, "weights binary, bias double").first()
     return ftrl([], []) if found is None else Model(np.frombuffer(found["weights"], np.float32), found["bias"])
 
 
-def hash_order(doc_id: int) -> int:
+def hash_order(doc_id: object) -> int:
     """An order of training that doesn't follow doc_id."""
-    return doc_id * 0x9E3779B97F4A7C15 % (1 << 64)
+    return xxh3_64_intdigest(str(doc_id))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from docloom.llm.graph import components
-from docloom.llm.shared import slices, table, written
+from docloom.llm.shared import freed, give_back, slices, table, written
 
 WORDS = 3
 NUMERATOR, DENOMINATOR = 90, 100
@@ -69,6 +69,19 @@ class _Words(dict):
 _KNOWN = _Words()
 
 
+def _forgetting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with the known words and all its memory given back at a partition's end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _KNOWN.clear()
+            give_back()
+
+    return whole
+
+
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Each text's set of shingle hashes, sorted."""
     if len(_KNOWN) > MOST_WORDS_KNOWN:
@@ -302,9 +315,9 @@ def _round(documents: DataFrame, chosen: DataFrame, pivots: DataFrame, words: in
     dealt = written(own.drop("chunks").union(away.select("doc_id", "set_id", "loose", F.col("to").alias("chunk"), "pivot")), "dealt")
     small = dealt.count() <= BROADCAST_ROWS
     tasks = documents.select("doc_id", "text").join(F.broadcast(dealt) if small else dealt, "doc_id")
-    tasks = tasks.mapInArrow(partial(_checked, words=words), "loose long, chunk long, set_id long, pivot boolean, shingles array<long>")
+    tasks = tasks.mapInArrow(_forgetting(partial(_checked, words=words)), "loose long, chunk long, set_id long, pivot boolean, shingles array<long>")
     tasks = tasks.repartition("loose", "chunk").sortWithinPartitions("loose", "chunk")
-    return tasks.mapInArrow(partial(_links, least=least), "u long, v long"), counts.where("chunks > 1").count()
+    return tasks.mapInArrow(freed(partial(_links, least=least)), "u long, v long"), counts.where("chunks > 1").count()
 
 
 def _alone(n: Column, least: tuple[int, int]) -> Column:
@@ -335,7 +348,7 @@ def rare_keys(scanned: DataFrame, documents: DataFrame, words: int, least: tuple
     open_ = written(may.select("set_id", "doc_id", "size"), "open")
     small = open_.count() <= BROADCAST_ROWS
     ids = open_.select("set_id", "doc_id")
-    full = documents.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id").mapInArrow(partial(_full, words=words), "key long, set_id long")
+    full = documents.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id").mapInArrow(_forgetting(partial(_full, words=words)), "key long, set_id long")
     shared = full.join(holders(full).where("low <> high").select("key", "n"), "key")
     common = shared.groupBy("set_id").agg(F.array_sort(F.collect_set(F.struct("n", "key"))).alias("common")).join(open_, "set_id")
     most = (_alone(F.col("size"), least) + 1 - (F.col("size") - F.size("common"))).cast("int")
@@ -380,7 +393,7 @@ def jaccard_classes(documents: DataFrame, words: int = WORDS, least: tuple[int,
     kind = dict(documents.dtypes)["doc_id"]
     keyed = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     scan = _scan if (words, least) == (WORDS, (NUMERATOR, DENOMINATOR)) else _sampled(words)
-    scanned = written(keyed.mapInArrow(scan, f"doc_id {kind}, row long, n_shingles long, set_id long, keys array<long>"), "sets")
+    scanned = written(keyed.mapInArrow(_forgetting(scan), f"doc_id {kind}, row long, n_shingles long, set_id long, keys array<long>"), "sets")
     labels = linked_classes(scanned, documents, words, least)
     rows = scanned.select("doc_id", "row", "n_shingles", "set_id")
     sets = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("low")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")

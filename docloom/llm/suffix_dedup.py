@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import slices, table, written
+from docloom.llm.shared import freed, slices, table, written
 
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM  # largest offset of an anchor in its window
@@ -351,7 +351,7 @@ def row_of() -> Column:
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """row and found, the byte ranges (a, b) that repeated strings cover, for the rows that have any."""
     keyed = documents.select(row_of().alias("row"), "text")
-    anchors = written(keyed.mapInArrow(_anchors, "row long, at int, high smallint, low smallint, gram long, whole long"), "anchors")
+    anchors = written(keyed.mapInArrow(freed(_anchors), "row long, at int, high smallint, low smallint, gram long, whole long"), "anchors")
     grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("w1"), F.max("whole").alias("w2")).where("n > 1")
     # Written, so that the join has an exchange on both sides and Spark can split a common anchor's rows.
     grams = written(grams.select("gram", (F.col("w1") != F.col("w2")).alias("mixed")), "grams")
@@ -363,10 +363,10 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     chosen = runs.join(hot, "gram", "left").select("one.row", F.struct("one.at", "one.high", "one.low", "gram", "whole", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("run"))
     by_row = chosen.groupBy("row").agg(F.collect_list("run").alias("runs"))
     # Rows with equal keys have equal texts: one of them gives the bytes.
-    contexts = keyed.join(by_row, "row").mapInArrow(_contexts, "gram long, whole long, high smallint, low smallint, n long, hot boolean, context binary")
+    contexts = keyed.join(by_row, "row").mapInArrow(freed(_contexts), "gram long, whole long, high smallint, low smallint, n long, hot boolean, context binary")
     contexts = written(contexts, "contexts")
-    cold = contexts.where("NOT hot").drop("hot").repartition("gram").sortWithinPartitions("gram", "whole").mapInArrow(_sorted_runs, "gram long, whole long, ranges array<int>")
-    windows = contexts.where("hot").select("context", "gram", "whole", "high", "low", "n").mapInArrow(_hot_windows, "w1 long, w2 long, gram long, whole long, n long, offset int")
+    cold = contexts.where("NOT hot").drop("hot").repartition("gram").sortWithinPartitions("gram", "whole").mapInArrow(freed(_sorted_runs), "gram long, whole long, ranges array<int>")
+    windows = contexts.where("hot").select("context", "gram", "whole", "high", "low", "n").mapInArrow(freed(_hot_windows), "w1 long, w2 long, gram long, whole long, n long, offset int")
     twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2")
     warm = windows.join(twice, ["w1", "w2"]).groupBy("gram", "whole").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
     warm = warm.select("gram", "whole", F.flatten(F.transform("offsets", lambda x: F.array(x, x))).alias("ranges"))
@@ -382,7 +382,7 @@ def dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges) and kept (the remaining bytes) of every document."""
     found = written(repeated_spans(documents), "spans")
     joined = documents.select("doc_id", "text", row_of().alias("row")).join(found, "row", "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(_cut, f"doc_id {dict(documents.dtypes)['doc_id']}, n_bytes long, spans array<array<long>>, kept binary")
+    return joined.mapInArrow(freed(_cut), f"doc_id {dict(documents.dtypes)['doc_id']}, n_bytes long, spans array<array<long>>, kept binary")
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +401,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """documents, all columns, with texts without their repeated spans; n_chars, if there, counts what is left."""
     found = written(repeated_spans(documents), "spans").withColumnRenamed("row", "__row")
     joined = documents.join(found, row_of() == F.col("__row"), "left").drop("__row")
-    return joined.mapInArrow(_cut_rows, documents.schema)
+    return joined.mapInArrow(freed(_cut_rows), documents.schema)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,4 +420,4 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = written(repeated_spans(documents), "spans")
     joined = documents.select("doc_id", "text", row_of().alias("row")).join(found, "row", "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(_digests, f"doc_id {dict(documents.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(freed(_digests), f"doc_id {dict(documents.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

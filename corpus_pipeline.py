@@ -37,7 +37,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of its text, and the SHA-256 of the bytes that these decode to."""
-    return bpe.encode(docs, cache=150_000)  # the workers also serve the other stages
+    return bpe.encode(docs, cache=150_000)  # leaves the workers room for what the JVM took in the other stages
 
 
 STAGES = [

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import tex
 from docloom.operators import bilingual, repair, segment
+from docloom.plans import segment_sql
 from docloom.plans.base import query
 from docloom.sources.tex_docs import TEX_SQL, documents, tex_docs
 
@@ -22,11 +23,18 @@ def paragraph_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.posexplode("p").alias("n", "x")).select("doc_id", (F.col("n") + 1).cast("long").alias("n"), "x.en", "x.zh")
 
 
-@query()
+_OPEN, _CLOSE = r"'\begingroup\color{bilingualzhcolor}'", r"'\par\endgroup'"
+
+
+@query(segment_sql.BILINGUAL + rf""", t AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n, string AS en, replace(string, 'e', 'Z') AS zh FROM segments WHERE NOT preserve),
+p AS (SELECT *, list_filter(list_transform(regexp_split_to_array(en, '\n\s*\n+'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS parts FROM t)
+SELECT doc_id, n::INT AS n, en, zh, CASE WHEN len(parts) > 1
+  THEN array_to_string(list_transform(parts, lambda x: x || repeat(chr(10), 4) || {_OPEN} || chr(10) || chr(10) || replace(x, 'e', 'Z') || chr(10) || chr(10) || {_CLOSE}), repeat(chr(10), 4)) || chr(10) || chr(10)
+  ELSE rtrim(en, ' ' || chr(10)) || repeat(chr(10), 4) || {_OPEN} || chr(10) || chr(10) || trim(zh, ' ' || chr(10)) || chr(10) || chr(10) || {_CLOSE} || chr(10) || chr(10) END AS rendered FROM p""")
 def bilingual_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of the body of a document and of its other side, which has the same structure, rendered in pairs."""
-    found = segment.segment(tex_docs(spark, sf_dir), "bilingual")
-    other = found.withColumn("string", F.when(F.col("preserve"), F.col("string")).otherwise(F.upper("string")))
+    found = segment.segment(tex_docs(spark, sf_dir, plain=True), "bilingual")
+    other = found.withColumn("string", F.when(F.col("preserve"), F.col("string")).otherwise(F.replace("string", F.lit("e"), F.lit("Z"))))
     return bilingual.paired(found, other).withColumn("rendered", bilingual.rendered(F.col("en"), F.col("zh")))
 
 

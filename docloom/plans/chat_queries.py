@@ -40,11 +40,22 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.posexplode(built).alias("place", "m")).select("conv_id", F.col("place").cast("long").alias("place"), "m.role", "m.content")
 
 
-@query()
+_HISTORY = """WITH RECURSIVE t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+h AS (SELECT conv_id AS id, max(CASE WHEN k = n THEN text END) AS text, coalesce(list(text ORDER BY k) FILTER (k < n), []) AS history FROM t GROUP BY conv_id),
+a AS (SELECT id, text, length(text) < 500 AS whole, CASE WHEN length(text) < 500 THEN history ELSE list_prepend(text, history) END AS items, CASE WHEN length(text) < 500 THEN 1000 - length(text) ELSE 1000 END AS budget FROM h),
+s(id, text, whole, items, budget, step, n) AS (
+  SELECT *, coalesce(list_max(list_transform(items, lambda x: length(x))), 0) // 16, 0 FROM a
+  UNION ALL
+  SELECT id, text, whole, list_transform(items, lambda x, i: CASE WHEN i = list_position(list_transform(items, lambda y: length(y)), list_max(list_transform(items, lambda y: length(y)))) THEN left(x, greatest(0, length(x) - step - 1)::INT) ELSE x END), budget, step, n + 1
+  FROM s WHERE len(items) > 0 AND length(array_to_string(items, chr(10))) > budget AND list_max(list_transform(items, lambda x: length(x))) > 0)
+SELECT id, CASE WHEN whole THEN text ELSE items[1] END AS text, array_to_string(CASE WHEN whole THEN items ELSE items[2:] END, chr(31)) AS history FROM (SELECT *, max(n) OVER (PARTITION BY id) AS last FROM s) WHERE n = last"""
+
+
+@query(_HISTORY)
 def history_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _histories(spark, sf_dir)
     n = F.size("turns")
-    return chat.clipped(rows.select(F.col("conv_id").alias("id"), F.element_at("turns", n).alias("text"), F.slice("turns", F.lit(1), n - 1).alias("history")), 1000)
+    return chat.clipped(rows.select(F.col("conv_id").alias("id"), F.element_at("turns", n).alias("text"), F.slice("turns", F.lit(1), n - 1).alias("history")), 1000).withColumn("history", F.array_join("history", "\x1f"))
 
 
 @query("""SELECT user_id AS request_id, string_agg(CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END, '' ORDER BY event_id) AS text FROM events GROUP BY user_id""")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import tex
 from docloom.operators import chat, overlay, repair, segment
+from docloom.plans import segment_sql
 from docloom.plans.base import query
 from docloom.sources.tex_docs import TEX_SQL, tex_docs
 
@@ -69,14 +70,14 @@ def segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.count_if(preserve).alias("preserved"), F.count_if(~preserve).alias("transformed"), F.sum(n.cast("long")).alias("chunks"))
 
 
-@query()
+@query(segment_sql.MAIN + segment_sql.ROWS)
 def segment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.segment(tex_docs(spark, sf_dir))
+    return segment.segment(tex_docs(spark, sf_dir, plain=True))
 
 
-@query()
+@query(segment_sql.BILINGUAL + segment_sql.ROWS)
 def bilingual_segment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.segment(tex_docs(spark, sf_dir), "bilingual")
+    return segment.segment(tex_docs(spark, sf_dir, plain=True), "bilingual")
 
 
 def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,11 +140,12 @@ def error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", log.alias("log")).select("doc_id", "log", repair.error_line(F.col("log")).cast("long").alias("line"))
 
 
-@query()
+@query(segment_sql.MAIN + """, done AS (SELECT doc_id, seq, string, NOT preserve AND doc_id % 90 BETWEEN line - 10 AND line + ends_ + 10 AS back, preserve FROM placed)
+SELECT doc_id, string_agg(CASE WHEN preserve OR back THEN string ELSE replace(string, 'e', 'Z') END, '' ORDER BY seq) AS tex, count(*) FILTER (back) AS reverted FROM done GROUP BY doc_id""")
 def error_revert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upper-case 'translations', reverted within ten lines of one error line."""
-    found = segment.segment(tex_docs(spark, sf_dir))
-    return repair.reassemble(found.withColumn("result", F.upper("string")).withColumn("errors", F.array((F.col("doc_id") % 90).cast("int"))), 10)
+    """'Translations' with other letters, reverted within ten lines of one error line."""
+    found = segment.segment(tex_docs(spark, sf_dir, plain=True))
+    return repair.reassemble(found.withColumn("result", F.replace("string", F.lit("e"), F.lit("Z"))).withColumn("errors", F.array((F.col("doc_id") % 90).cast("int"))), 10)
 
 
 @query(_RUNS_SQL + """ SELECT doc_id, string_agg('<p style="color:' || CASE state WHEN 0 THEN 'red">' || replace(s, chr(10), '<br/>') ELSE 'black">#' || replace(s, chr(10), '<br/>') || '#' END || '</p>', '' ORDER BY seq) AS html FROM parts GROUP BY doc_id""")

@@ -56,12 +56,14 @@ def fullwidth_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", tex.ascii_punctuation(text).alias("fixed"))
 
 
-@query()
+@query("""WITH a AS (SELECT page_id, html, strpos(reverse(html), '}') AS r FROM pages),
+b AS (SELECT *, length(html) - r + 1 AS k, length(regexp_extract(left(html, length(html) - r), '(?s)^.*[{}]')) AS j FROM a)
+SELECT page_id, CASE WHEN r = 0 THEN replace(html, 'e', 'Z') ELSE replace(left(html, j), 'e', 'Z') || substring(html, j + 1) END AS fixed FROM b""")
 def join_most(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose last closing brace is lost, made whole from the original."""
+    """Pages with other letters whose last closing brace is lost: after the brace before it the original goes on."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    result = F.upper(F.regexp_replace("html", r"(?s)\}([^}]*)\z", "$1"))
-    return pages.select("page_id", repair.fixed(result, F.col("html")).alias("fixed"))
+    result = F.replace(F.regexp_replace("html", r"(?s)\}([^}]*)\z", "$1"), F.lit("e"), F.lit("Z"))
+    return pages.select("page_id", repair.aligned(result, F.col("html")).alias("fixed"))
 
 
 @query("""SELECT page_id, (length(html) - length(replace(html, '{', ''))) - (length(html) - length(replace(html, '}', ''))) AS level FROM pages""")
@@ -69,23 +71,29 @@ def brace_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", tex.brace_level(F.col("html")).alias("level"))
 
 
-_BRACES = "concat('}', substring(html, 1, 400), '}}', substring(html, 401, 200), '{')"
+_BRACES = "concat('}', substring(html, 1, 400), '}}', substring(html, 401), '{')"
 
 
-@query(f"""WITH c AS (SELECT page_id, i, substring(s, i, 1) AS ch FROM (SELECT page_id, s, unnest(generate_series(1, length(s))) AS i FROM (SELECT page_id, {_BRACES} AS s FROM pages))),
-b AS (SELECT page_id, row_number() OVER w - 1 AS k, sum(CASE ch WHEN '{{' THEN 1 ELSE -1 END) OVER w AS level FROM c WHERE ch IN ('{{', '}}') WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+@query(f"""WITH c AS (SELECT page_id, unnest(regexp_extract_all({_BRACES}, '[{{}}]')) AS ch, unnest(range(len(regexp_extract_all({_BRACES}, '[{{}}]')))) AS k FROM pages),
+b AS (SELECT page_id, k, sum(CASE ch WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY k) AS level FROM c),
 m AS (SELECT page_id, k, level, coalesce(min(level) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM b)
 SELECT page_id, k::BIGINT AS brace FROM m WHERE level < least(0, low)""")
 def brace_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of the page; the SQL, by characters, ends 200 after the inserted pair and gives the same rows where no brace follows."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    text = "concat('}', substring(html, 1, 400), '}}', substring(html, 401), '{')"
-    return pages.select("page_id", F.explode(overlay.unmatched_braces(F.expr(text))).alias("brace")).select("page_id", F.col("brace").cast("long").alias("brace"))
+    return pages.select("page_id", F.explode(overlay.unmatched_braces(F.expr(_BRACES))).alias("brace")).select("page_id", F.col("brace").cast("long").alias("brace"))
 
 
-@query(TEX_SQL + r""" SELECT doc_id, CASE WHEN regexp_matches(left(tex || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '' END, 5000), 'fontspec|xeCJK|xetex|unicode-math|xltxtra|xunicode') THEN 'xelatex' ELSE 'pdflatex' END AS compiler FROM tex_docs""")
+# A package for each of seven kinds of documents, the last one after the first 5000 characters.
+_PACKAGES = ["fontspec", "xeCJK", "xetex", "unicode-math", "xltxtra", "xunicode", "graphicx"]
+
+
+@query(TEX_SQL + f""" SELECT doc_id, CASE WHEN doc_id % 8 < 6 THEN 'xelatex' ELSE 'pdflatex' END AS compiler FROM tex_docs""")
 def xelatex_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tex_docs(spark, sf_dir).select("doc_id", F.when(tex.needs_xelatex(F.col("tex")), "xelatex").otherwise("pdflatex").alias("compiler"))
+    """Six kinds of documents have a listed package, one has none, and one has it past the first 5000 characters."""
+    kind = F.col("doc_id") % 8
+    package = F.element_at(F.array(*[F.lit(f"\\usepackage{{{p}}}\n") for p in _PACKAGES]), (kind + 1).cast("int"))
+    late = F.concat(F.repeat(F.lit("%"), 5000), F.lit("\\usepackage{fontspec}\n"), "tex")
+    return tex_docs(spark, sf_dir).select("doc_id", F.when(tex.needs_xelatex(F.when(kind == 7, late).otherwise(F.concat(package, "tex"))), "xelatex").otherwise("pdflatex").alias("compiler"))
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")

@@ -39,10 +39,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def tex_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, text and tex."""
-    return documents(spark, sf_dir).select("doc_id", "source", "lang", "text", tex_column().alias("tex"))
+def tex_docs(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFrame:
+    """doc_id, source, lang, text and tex. plain: dollar signs of the texts, which could start a formula, are spelled out."""
+    docs = documents(spark, sf_dir)
+    if plain:
+        docs = docs.withColumn("text", F.replace("text", F.lit("$"), F.lit("USD")))
+    return docs.select("doc_id", "source", "lang", "text", tex_column().alias("tex"))
 
 
 #: The head of SQL that reads tex_docs.
 TEX_SQL = f"WITH tex_docs AS (SELECT doc_id, source, lang, text, {tex_sql()} AS tex FROM documents)"
+PLAIN_TEX_SQL = TEX_SQL.replace("FROM documents", "FROM (SELECT * REPLACE (replace(text, '$', 'USD') AS text) FROM documents)")

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
-#: Text put where an abstract is missing.
+# Text put where an abstract is missing, and the colour of the second language.
 MISSING_ABSTRACT = "\n\\begin{abstract}\nThis paper has no abstract section.\n\\end{abstract}\n"
 COLOR = "bilingualzhcolor"
 # Packages that need xelatex; a text that has one in its first 5000 characters needs it.
@@ -32,9 +32,10 @@ def lines(text: Column) -> Column:
 
 
 def strip_comments(text: Column) -> Column:
-    """Whole-line comments go with their lines, others from the first unescaped % on."""
-    kept = F.filter(lines(text), lambda x: ~x.rlike(r"(?U)^\s*%"))
-    return F.regexp_replace(F.array_join(kept, "\n"), r"(?d)(?<!\\)%.*", "")
+    """Whole-line comments go with their lines, others from the first unescaped % on. Line ends become newlines; one at the end goes."""
+    even = F.regexp_replace(text, LINE_END, "\n")
+    bare = F.regexp_replace(F.regexp_replace(even, r"(?dmU)^[\s&&[^\n]]*%.*\n?", ""), r"\n\z", "")
+    return F.regexp_replace(bare, r"(?d)(?<!\\)%.*", "")
 
 
 def first_group(text: Column, pattern: str) -> Column:
@@ -120,9 +121,8 @@ def brace_level(text: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Stripped parts between blank lines."""
-    strip = lambda x: F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
-    return F.filter(F.transform(F.split(strip(text), r"(?U)\n\s*\n+"), strip), lambda x: x != "")
+    """Stripped parts between blank lines: white space with two newlines in it separates."""
+    return F.filter(F.split(F.regexp_replace(text, r"(?U)\A\s+|\s+\z", ""), r"(?U)\s*?\n\s*\n\s*"), lambda x: x != "")
 
 
 #: Lines that keep a segment whole.

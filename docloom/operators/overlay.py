@@ -2,37 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def match_spans(text: Column, pattern: str, rule: int, state: int = 0) -> Column:
-    """An array of rule, match, a, b, state of all matches, leftmost and non-overlapping; offsets count characters from 0.
+#: Put around matches; a text that holds it is scanned twice instead.
+MARK = "\x00"
+
+
+def match_sizes(text: Column, pattern: str, rule: int) -> Column:
+    """Of each match, leftmost and non-overlapping: rule, match, the characters before it (after the one before) and its own."""
+    marked = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)  # gap, match, gap, match, ..., gap
+    gaps, matches = F.filter(marked, lambda x, i: i % 2 == 0), F.filter(marked, lambda x, i: i % 2 == 1)
+    holds = F.contains(text, F.lit(MARK))
+    gaps, matches = F.when(holds, F.split(text, pattern, -1)).otherwise(gaps), F.when(holds, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(matches)
+    sizes = F.zip_with(gaps, matches, lambda gap, size: F.struct(F.length(gap).alias("gap"), F.length(size).alias("size")))
+    found = F.filter(sizes, lambda x: x["size"].isNotNull())
+    return F.transform(found, lambda x, i: F.struct(F.lit(rule).alias("rule"), i.alias("match"), x["gap"].alias("gap"), x["size"].alias("size")))
+
+
+def match_spans(docs: DataFrame, patterns: list[str], text: str = "tex", state: int = 0) -> DataFrame:
+    """doc_id, rule, match, a, b, state of all matches, with a span (rule -1, state 1) of each whole text; offsets count characters from 0.
 
-    A match starts after the lengths of all matches before it and of what stands between them.
+    The texts are scanned once; only sizes are exchanged, by doc_id, as overlay() needs them. A match starts after the
+    sizes of all matches before it and of what stands between them.
     """
-    sizes = F.zip_with(
-        F.transform(F.split(text, pattern, -1), F.length), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length),
-        lambda gap, size: F.struct(gap.alias("gap"), size.alias("size")),
-    )
-    empty = F.array().cast("array<struct<rule:int,match:int,a:int,b:int,state:int>>")
-    found = F.aggregate(
-        F.filter(sizes, lambda x: x["size"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda done, x: F.struct(
-            (done["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(done["spans"], F.array(F.struct(F.lit(rule).alias("rule"), F.size(done["spans"]).alias("match"), (done["at"] + x["gap"]).alias("a"), (done["at"] + x["gap"] + x["size"]).alias("b"), F.lit(state).alias("state")))).alias("spans"),
-        ),
-    )
-    return found["spans"]
+    t = F.col(text)
+    whole = F.array(F.struct(F.lit(-1).alias("rule"), F.lit(0).alias("match"), F.lit(0).alias("gap"), F.length(t).alias("size")))
+    every = docs.select("doc_id", F.explode(F.concat(whole, *[match_sizes(t, p, n) for n, p in enumerate(patterns)])).alias("m")).select("doc_id", "m.*")
+    b = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("doc_id", "rule").orderBy("match")).cast("int")
+    placed = every.repartition("doc_id").withColumn("b", b)
+    return placed.select("doc_id", "rule", "match", (F.col("b") - F.col("size")).alias("a"), "b", F.when(F.col("rule") < 0, 1).otherwise(state).alias("state"))
 
 
-def overlay(spans: DataFrame) -> DataFrame:
-    """doc_id, a, b, state: elementary intervals, each with the state that was written last."""
-    points = spans.select("doc_id", F.explode(F.array("a", "b")).alias("a")).distinct()
-    cuts = points.withColumn("b", F.lead("a").over(Window.partitionBy("doc_id").orderBy("a"))).where("b IS NOT NULL")
-    cover = cuts.alias("c").join(spans.alias("s"), (F.col("c.doc_id") == F.col("s.doc_id")) & (F.col("s.a") <= F.col("c.a")) & (F.col("s.b") >= F.col("c.b")))
-    return cover.groupBy(F.col("c.doc_id").alias("doc_id"), F.col("c.a").alias("a"), F.col("c.b").alias("b")).agg(F.max_by("s.state", F.struct("s.rule", "s.match")).alias("state"))
+def overlay(spans: DataFrame, rules: Sequence[int]) -> DataFrame:
+    """doc_id, a, b, state: elementary intervals, each with the state that was written last.
+
+    Spans of one rule don't overlap. One sweep over a document's points keeps, for each rule, the span that began last;
+    at a point the highest rule whose span goes on has written last.
+    """
+    point = spans.where("b > a").select("doc_id", "rule", "b", "state", F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(True).alias("begins")), F.struct(F.col("b").alias("at"), F.lit(False).alias("begins")))).alias("p")).select("*", "p.*")
+    began = [F.max(F.when(F.col("begins") & (F.col("rule") == r), F.struct("b", "state"))).alias(f"r{i}") for i, r in enumerate(sorted(rules))]
+    w = Window.partitionBy("doc_id").orderBy("at")
+    points = point.groupBy("doc_id", "at").agg(*began)
+    last = points.select("doc_id", "at", F.lead("at").over(w).alias("b"), *[F.last(f"r{i}", ignorenulls=True).over(w).alias(f"r{i}") for i in range(len(began))])
+    state = F.coalesce(*[F.when(F.col(f"r{i}.b") > F.col("at"), F.col(f"r{i}.state")) for i in reversed(range(len(began)))])
+    return last.where("b IS NOT NULL").select("doc_id", F.col("at").alias("a"), "b", state.alias("state")).where("state IS NOT NULL")
 
 
 def runs(intervals: DataFrame) -> DataFrame:
@@ -78,14 +95,11 @@ def include_tree(edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFra
 
     A node already on the way to itself has the flag 'cycle' and one below the depth 'deeper'; neither is followed.
     """
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("docloom_include_edges")
-    roots.createOrReplaceTempView("docloom_include_roots")
-    return spark.sql(f"""
+    return edges.sparkSession.sql(f"""
         WITH RECURSIVE reached(root, node, depth, way, flag) MAX RECURSION LEVEL {depth + 8} AS (
-          SELECT node AS root, node, 0 AS depth, array(node) AS way, CAST(NULL AS STRING) AS flag FROM docloom_include_roots
+          SELECT node AS root, node, 0 AS depth, array(node) AS way, CAST(NULL AS STRING) AS flag FROM {{roots}}
           UNION ALL
           SELECT r.root, e.child, r.depth + 1, array_append(r.way, e.child),
             CASE WHEN array_contains(r.way, e.child) THEN 'cycle' WHEN r.depth >= {depth} THEN 'deeper' END
-          FROM reached r JOIN docloom_include_edges e ON e.parent = r.node WHERE r.flag IS NULL)
-        SELECT root, node, depth, flag FROM reached""")
+          FROM reached r JOIN {{edges}} e ON e.parent = r.node WHERE r.flag IS NULL)
+        SELECT root, node, depth, flag FROM reached""", edges=edges, roots=roots)

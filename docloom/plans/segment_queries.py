@@ -12,21 +12,17 @@ from docloom.sources.tex_docs import TEX_SQL, tex_docs
 # The rules that need no recursion or brace counting, in Java's and in RE2's dialect alike.
 RULES = [
     r"(?s)\A(.*?)\\maketitle", r"(?s)\A(.*?)\\begin\{document\}", r"(?s)\$\$[^$]+\$\$|\\\[.*?\\\]",
-    r"\\section\{[^}\n]*\}|\\section\*\{[^}\n]*\}|\\subsection\{[^}\n]*\}|\\subsubsection\{[^}\n]*\}", r"\\bibliography\{[^}\n]*\}|\\bibliographystyle\{[^}\n]*\}",
-    r"\\clearpage|\\newpage|\\appendix|\\tableofcontents|\\include\{[^}\n]*\}", r"\\vspace\{[^}\n]*\}|\\hspace\{[^}\n]*\}|\\label\{[^}\n]*\}|\\begin\{[^}\n]*\}|\\end\{[^}\n]*\}|\\item ",
+    r"\\(?:section\*?|subsection|subsubsection)\{[^}\n]*\}", r"\\(?:bibliography|bibliographystyle)\{[^}\n]*\}",
+    r"\\(?:clearpage|newpage|appendix|tableofcontents|include\{[^}\n]*\})", r"\\(?:(?:vspace|hspace|label|begin|end)\{[^}\n]*\}|item )",
 ]
 
 
-def _simple_spans(docs: DataFrame) -> DataFrame:
-    """All rules' spans from one scan, over a span of the whole text that is transformed."""
-    text = F.col("tex")
-    whole = F.array(F.struct(F.lit(-1).alias("rule"), F.lit(0).alias("match"), F.lit(0).alias("a"), F.length(text).alias("b"), F.lit(1).alias("state")))
-    every = F.concat(whole, *[overlay.match_spans(text, pattern, number) for number, pattern in enumerate(RULES)])
-    return docs.select("doc_id", F.explode(every).alias("s")).select("doc_id", "s.*")
+def _cover(docs: DataFrame) -> DataFrame:
+    return overlay.overlay(overlay.match_spans(docs, RULES), range(-1, len(RULES)))
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    return overlay.runs(overlay.overlay(_simple_spans(docs)))
+    return overlay.runs(_cover(docs))
 
 
 # The same by characters: each takes the state of the last rule that covers it. Positions come from the lengths of what
@@ -54,7 +50,7 @@ def runs_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RUNS_SQL + " SELECT doc_id, sum(CASE WHEN state = 0 THEN b - a ELSE 0 END)::BIGINT AS preserved, sum(CASE WHEN state = 1 THEN b - a ELSE 0 END)::BIGINT AS transformed FROM cover GROUP BY doc_id")
 def span_overlay_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cover = overlay.overlay(_simple_spans(tex_docs(spark, sf_dir)))
+    cover = _cover(tex_docs(spark, sf_dir))
     size = F.col("b") - F.col("a")
     return cover.groupBy("doc_id").agg(F.sum(F.when(F.col("state") == 0, size).otherwise(0)).alias("preserved"), F.sum(F.when(F.col("state") == 1, size).otherwise(0)).alias("transformed"))
 

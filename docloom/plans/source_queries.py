@@ -89,8 +89,7 @@ _FILES = "SELECT 'p' || doc_id % 20 AS project, CASE WHEN doc_id % 20 < 10 THEN
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents(spark, sf_dir).createOrReplaceTempView("docloom_documents")
-    return spark.sql(_FILES.replace("FROM documents", "FROM docloom_documents"))
+    return spark.sql(_FILES.replace("FROM documents", "FROM {documents}"), documents=documents(spark, sf_dir))
 
 
 @query(f"SELECT project, path FROM ({_FILES}) WHERE NOT regexp_matches(path, '(^|/)(workfolder|outputs|logs|__MACOSX)/')")

@@ -51,6 +51,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with groups, one row for each key, which come from an aggregation by that key.
+
+    The keys are compared by their complements: so both sides have an exchange, and Spark can split a common key's rows.
+    """
+    own = groups.withColumn("__key", F.bitwise_not(key)).drop(key)
+    return rows.withColumn("__own", F.bitwise_not(key)).join(own, F.col("__own") == F.col("__key")).drop("__own", "__key")
+
+
 def _remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -120,6 +129,36 @@ def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return whole
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def bit_table(keys: DataFrame, blocks: int) -> Column:
+    """A blocked Bloom filter of the 64-bit hashes in keys(h), an array of 64-bit blocks, as a subquery of one value."""
+    block, mask = block_and_mask(F.col("h"), blocks)
+    own = keys.select(block.alias("b"), mask.alias("m")).groupBy("b").agg(F.bit_or("m").alias("m"))
+    every = keys.sparkSession.range(blocks).select(F.col("id").cast("int").alias("b")).join(own, "b", "left")
+    rows = F.array_sort(F.collect_list(F.struct("b", F.coalesce("m", F.lit(0).cast("long")).alias("m"))))
+    return every.agg(F.transform(rows, lambda r: r["m"]).alias("bits")).scalar()
+
+
+def block_and_mask(h: Column, blocks: int) -> tuple[Column, Column]:
+    """A hash's block and its three bits in it, from independent parts."""
+    bit = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, by).bitwiseAND(F.lit(63)).cast("int"))
+    return F.pmod(F.shiftrightunsigned(h, 20), F.lit(blocks).cast("long")).cast("int"), bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))
+
+
+def may_hold(bits: Column, h: Column, blocks: int) -> Column:
+    """Whether the table has all three bits; one is looked at first, as most hashes lack it."""
+    block, mask = block_and_mask(h, blocks)
+    word = F.get(bits, block)
+    return (F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1) & (F.bitwise_not(word).bitwiseAND(mask) == 0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,12 +2,18 @@
 
 DataFrame functions only. A rule is (action, host, path): it fits its host and every subdomain, for paths that start
 with its path; of the fitting rules the one with the longest host + path wins (then the longest host). A url's
-candidate keys are its host suffixes times the path lengths that occur in the rules, so a url makes a bounded number
-of keys whatever the size of the list. The filter has blocks of 64 bits and sets three bits of one block for a key.
+candidate keys are its host suffixes times the path lengths that occur in the rules. The filter has blocks of 64 bits
+and sets three bits of one block for a key; it is probed within the row, so a url without a possible hit is never
+exchanged, and of the others each distinct host and path is looked up once, however often a host repeats. What was
+found is written, and joined by a broadcast if its size allows, else by a join with an exchange on both sides.
+
+The filter is as large as the list needs; a list whose filter would be over FILTER_BYTES has none, and every key goes to
+the exact join.
 
 Defined results: a null url or one without "://" has empty host and path and gets no rule; a url that no rule fits has
-a null rule and the default verdict, allow (an unlisted url passes a block list). Repeated rows and other columns
-are kept as they are; other columns may have any name but those this operator adds. An empty rule list lets all pass.
+a null rule and the default verdict, allow (an unlisted url passes a block list). Repeated (host, path) rules: block
+wins. Repeated rows and other columns are kept as they are, whatever their names; a column with the name of an added one
+is replaced. An empty rule list lets all pass.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import table
+from docloom.llm.shared import bit_table, free_name, may_hold, table, written
 
 RULES = (
     ("allow", "com", "/"),
@@ -29,8 +35,7 @@ RULES = (
 #: Rules above this many bytes of keys aren't broadcast; Spark then joins by hash with a shuffle.
 BROADCAST_BYTES = 8 << 20
 BITS_PER_RULE = 16
-#: Blocks of the filter: it is one array literal in the plan, so its size is bounded; a longer list only passes more.
-MOST_BLOCKS = 1 << 14
+FILTER_BYTES = 64 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,24 +49,6 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def block_and_mask(key: Column, blocks: int) -> tuple[Column, Column]:
-    """The key's block and its three bits in it, from independent parts of one 64-bit hash."""
-    h = F.xxhash64(key)
-    bit = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, by).bitwiseAND(F.lit(63)).cast("int"))
-    block = F.pmod(F.shiftrightunsigned(h, 20), F.lit(blocks)).cast("int")
-    return block, bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))
-
-
-def build_filter(rules: DataFrame, n_rules: int) -> list[int]:
-    """The filter's blocks; the rules' keys are aggregated by block, the result has at most MOST_BLOCKS longs."""
-    blocks = max(1, min(MOST_BLOCKS, n_rules * BITS_PER_RULE // 64 + 1))
-    block, mask = block_and_mask(F.col("key"), blocks)
-    bits = [0] * blocks
-    for row in rules.select(block.alias("b"), mask.alias("m")).groupBy("b").agg(F.bit_or("m").alias("m")).collect():
-        bits[row.b] = row.m
-    return bits
-
-
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = RULES, default: str = "allow", url: str = "url") -> DataFrame:
     """pages with host, path, rule and verdict. rules: tuples, or a DataFrame of action, host, path.
 
@@ -80,33 +67,31 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFr
     out = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     if not facts["n"]:
         return out.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    bits = build_filter(listed, facts["n"])
     labels = F.split(F.col("host"), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    lengths = sorted(facts["lengths"])
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
+    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(facts["lengths"])]), lambda p: p.isNotNull())
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit(" "), p))))
-    block, mask = block_and_mask(F.col("key"), len(bits))
-    stored = F.element_at(F.array(*[F.lit(b).cast("long") for b in bits]), block + 1)
-    # A rule depends on host and path alone: each distinct pair is looked up once, however often a host repeats.
-    hits = (
-        out.select("host", "path").where("host <> ''").distinct()
-        .select("host", "path", F.explode(keys).alias("key"))
-        .where(stored.bitwiseAND(mask) == mask)
-    )
+    blocks = facts["n"] * BITS_PER_RULE // 64 + 1
+    bits, hits = free_name(out, "bits"), free_name(out, "hits")
+    probed = out
+    if 8 * blocks <= FILTER_BYTES:
+        probed = probed.withColumn(bits, bit_table(listed.select(F.xxhash64("key").alias("h")), blocks))
+        keys = F.filter(keys, lambda k: may_hold(F.col(bits), F.xxhash64(k), blocks))
+    probed = probed.withColumn(hits, F.when(F.col("host") != "", keys)).drop(bits)
+    possible = F.coalesce(F.size(hits), F.lit(0)) > 0
+    asked = probed.where(possible).select("host", "path", F.explode(hits).alias("key")).distinct()
     small = facts["bytes"] <= BROADCAST_BYTES
+    rule_host, rule_path, best = (free_name(out, x) for x in ("rule_host", "rule_path", "best"))
     found = (
-        hits.join(F.broadcast(listed) if small else listed, "key")
-        .groupBy("host", "path")
-        .agg(F.max(F.struct(F.length("rule").alias("n"), "h_len", "rule", "action")).alias("__best"))
-        .select(F.col("host").alias("__rule_host"), F.col("path").alias("__rule_path"), "__best")
-    )
-    joined = out.join(found, (F.col("host") == F.col("__rule_host")) & (F.col("path") == F.col("__rule_path")), "left")
-    return (
-        joined.withColumn("rule", F.col("__best.rule"))
-        .withColumn("verdict", F.coalesce(F.col("__best.action"), F.lit(default)))
-        .drop("__rule_host", "__rule_path", "__best")
+        asked.join(F.broadcast(listed) if small else listed, "key")
+        .groupBy(F.col("host").alias(rule_host), F.col("path").alias(rule_path))
+        .agg(F.max(F.struct(F.length("rule").alias("n"), "h_len", "rule", "action")).alias(best))
     )
+    found = written(found, "rules")
+    hit = probed.where(possible).drop(hits).join(found, (F.col("host") == F.col(rule_host)) & (F.col("path") == F.col(rule_path)), "left")
+    hit = hit.withColumn("rule", F.col(f"{best}.rule")).withColumn("verdict", F.coalesce(F.col(f"{best}.action"), F.lit(default))).drop(rule_host, rule_path, best)
+    free = probed.where(~possible).drop(hits).withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+    return hit.unionByName(free)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import pytest
+
 from docloom.llm import decontaminate, queries, url_filter
 
 FOLDER = "/root/testdata/sf0.01"
@@ -21,12 +23,19 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(df, spark.createDataFrame([], "action string, host string, path string")).collect()} == {"allow"}
 
 
-def test_no_false_positives_with_a_full_filter(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MOST_BLOCKS", 1)
-    rules = [("block", f"h{i}.com", "/") for i in range(300)]
-    pages = spark.range(600).selectExpr("id AS page_id", "concat('http://h', id, '.com/x') AS url")
-    got = url_filter.filter_urls(pages, rules).where("verdict = 'block'").collect()
-    assert sorted(r["page_id"] for r in got) == list(range(300))
+@pytest.mark.parametrize(("name", "value"), [("BITS_PER_RULE", 0), ("FILTER_BYTES", 0), ("BROADCAST_BYTES", -1)])
+def test_full_filter_no_filter_and_no_broadcast(spark, monkeypatch, name, value):
+    monkeypatch.setattr(url_filter, name, value)
+    rules = [("block", f"h{i}.com", "/") for i in range(300)] + [("allow", "h1.com", "/"), ("allow", "H2.com", "/"), ("allow", "h3.com", "/x")]
+    pages = spark.range(600).selectExpr("id AS page_id", "concat('http://h', id, '.com/x', repeat('/y', 50000)) AS url", "1 AS hits", "2 AS bits", "3 AS best", "4 AS rule_host", "5 AS `key`", "'6' AS rule")
+    found = url_filter.filter_urls(pages, rules)
+    assert found.columns == ["page_id", "url", "hits", "bits", "best", "rule_host", "key", "rule", "host", "path", "verdict"]
+    assert sorted(r["page_id"] for r in found.where("verdict = 'block'").select("page_id").collect()) == [0, 1, 2, *range(4, 300)]
+
+
+def test_pages_without_a_hit_are_not_exchanged(spark):
+    plan = queries.QUERIES["op6_url_filter"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "Exchange hashpartitioning(host" not in plan
 
 
 def test_native_plans(spark):
@@ -59,9 +68,17 @@ def test_long_documents_are_scanned_whole(spark):
     assert (r["n_words"], r["n_hit"]) == (60_000, 20)
 
 
-def test_without_broadcast(spark, monkeypatch):
-    documents, benchmark = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(100), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
-    counts = lambda: sorted((r["doc_id"], r["n_hit"]) for r in decontaminate.decontaminate(documents, benchmark).collect())
-    want = counts()
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
-    assert counts() == want
+def test_names_of_every_kind(spark):
+    names = ["spans", "ids", "doc", "key", "own_key", "passed", "bits", "words", "hash", "window", "__hit", "Items"]
+    documents = spark.createDataFrame([(1, "x a b c")], "doc_id int, text string").selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    benchmark = spark.createDataFrame([(1, "A, B, C", "t")], "item_id int, text string, hash string")
+    for remove, text in ((None, "x a b c"), ("spans", "x ")):
+        r = decontaminate.decontaminate(documents, benchmark, remove).first().asDict()
+        assert all(r[n] == n for n in names[:-1]) and r["text"] == text and r["items"] == ["1"]
+
+
+@pytest.mark.parametrize(("name", "value"), [("BROADCAST_BYTES", -1), ("FILTER_BYTES", 1500), ("BITS_PER_WINDOW", 0)])
+def test_the_other_sides_of_bounds(spark, same, monkeypatch, name, value):
+    """A shuffled set, a set in several parts, and bits that let all windows pass."""
+    monkeypatch.setattr(decontaminate, name, value)
+    same(decontaminate.op10_decontaminate(spark, FOLDER), decontaminate.ORACLE_SQL, FOLDER)

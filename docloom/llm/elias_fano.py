@@ -70,6 +70,19 @@ class EliasFano:
         window = np.ascontiguousarray(self.low[(bit >> 3)[:, None] + np.arange(8)]).view(np.uint64)[:, 0]
         return high | window >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.width) - 1)
 
+    def values(self) -> np.ndarray:
+        """All values in order: the ones of the high bits one after another, each with its low bits."""
+        high = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")) - np.arange(self.n)
+        out = high.astype(np.uint64) << np.uint64(self.width)
+        if self.width:
+            bit = np.arange(self.n) * self.width
+            window = np.lib.stride_tricks.sliding_window_view(self.low, 8)
+            for at in range(0, self.n, 1 << 18):
+                part = bit[at : at + (1 << 18)]
+                low = np.ascontiguousarray(window[part >> 3]).view(np.uint64)[:, 0]
+                out[at : at + len(part)] |= low >> (part & 7).astype(np.uint64) & np.uint64((1 << self.width) - 1)
+        return out
+
     def search(self, start: np.ndarray, stop: np.ndarray, value: np.ndarray) -> np.ndarray:
         """In each range [start, stop) the place of value, or -1."""
         low, high, found = start.copy(), stop.copy(), np.full(len(value), -1, np.int64)

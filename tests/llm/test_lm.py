@@ -16,6 +16,7 @@ def test_elias_fano(n, bound):
     pick = np.random.default_rng(n)
     values = np.sort(pick.integers(0, bound, n)).astype(np.uint64)
     assert (EliasFano(values, bound)[np.arange(n)] == values).all()
+    assert (EliasFano(values, bound).values() == values).all()
     own = np.unique(values)
     if len(own):
         asked = np.concatenate((pick.choice(own, 50), pick.integers(0, bound, 200).astype(np.uint64)))
@@ -27,7 +28,7 @@ def test_pack():
     for v in ([], [0], [5, 5, 9, 1 << 63], [3, 1, 2]):
         a = np.array(v, np.uint64)
         rising = sorted(v) == v
-        got = lm.unpack(lm.pack([a, a[::-1], a], rising=0 if rising else -1))
+        got = lm.unpack(lm.pack([a, a[::-1], a], rising=(0, 2) if rising else ()))
         assert (got[0] == a).all() and (got[1] == a[::-1]).all() and (got[2] == a).all()
 
 
@@ -49,6 +50,22 @@ def test_levels():
     assert (found[::2] == np.arange(len(found[::2]))).all() and (found[1::2] < 0).all()
     assert (level.code(found, 255)[::2] == items[::2] % 251).all() and (level.code(found, 255)[1::2] == 255).all()
     assert (level.places(np.full(len(items), -1), items) < 0).all()
+    mixed = pick.permutation(len(keys))  # not rising: each is searched in its context's range
+    assert (level.places(parents[mixed], items[mixed]) == found[mixed]).all()
+
+
+def test_grams():
+    """One key of 63 bits, and three keys."""
+    pick = np.random.default_rng(2)
+    for top in (20, 1 << 30):
+        rows = pick.integers(0, 12, (3, 3000)) * (top // 12)
+        grams = lm.Grams(*rows)
+        want, of, counts = np.unique(rows, axis=1, return_inverse=True, return_counts=True)
+        assert (np.stack((grams.v, grams.u, grams.w)) == want).all() and (grams.of == of.ravel()).all() and (grams.sums(np.ones(3000)) == counts).all()
+        pairs, of = np.unique(want[:2], axis=1, return_inverse=True)
+        assert (np.stack((grams.pv, grams.pu)) == pairs).all() and (grams.pair_of == of.ravel()).all()
+    empty = np.zeros(0, np.int64)
+    assert len(lm.Grams(empty, empty, empty).pv) == 0
 
 
 @pytest.mark.parametrize("small", [False, True])

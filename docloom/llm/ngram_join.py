@@ -39,13 +39,16 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from docloom.llm.graph import components
-from docloom.llm.shared import freed, give_back, slices, table, written
+from docloom.llm.shared import freed, give_back, slices, spread, table, unwritten, written
 
 WORDS = 3
 NUMERATOR, DENOMINATOR = 90, 100
 PIVOTS = 64
 LATER_PIVOTS = 1024
 CHUNK = 256
+#: Shingles of pivots and of members that a task holds; a group of larger sets has fewer pivots in a round, one at least.
+PIVOT_SHINGLES = 4_000_000
+SCANNED = 500_000
 #: One of so many shingles is counted to find the sets that have too many alone.
 SAMPLE = 4
 #: Ids of documents with candidates are broadcast up to this many; beyond it they join by a shuffle.
@@ -235,61 +238,72 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids), lists], ["doc_id", "row", "n_shingles", "set_id", "keys"])
 
 
-def _links(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by task: pivots scan the inverted lists of the task's members; a spanning forest of the links comes out."""
-    pending: list[tuple[tuple, int, bool, np.ndarray]] = []
-
-    def solve(rows: list) -> pa.RecordBatch:
-        found_u, found_v = [], []
-        groups: dict[tuple, list] = {}
-        for key, node, pivot, s in rows:
-            groups.setdefault(key, []).append((node, pivot, s))
-        for members in groups.values():
-            size = np.array([len(s) for _, _, s in members])
-            post = np.concatenate([s for _, _, s in members])
-            owner = np.repeat(np.arange(len(members)), size)
+class _Chunk:
+    """Pivots, whose shingles make the inverted lists, and the links that members have with them."""
+
+    def __init__(self, least: tuple[int, int]) -> None:
+        self.least, self.nodes, self.sets, self.parent = least, [], [], {}
+        self.lists: tuple[np.ndarray, np.ndarray] | None = None
+
+    def top(self, x: int) -> int:
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+    def scan(self, nodes: list[int], sets: list[np.ndarray]) -> None:
+        """Count what members share with each pivot; the pivots must be all there."""
+        if not self.nodes:
+            return
+        if self.lists is None:
+            post, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
             order = np.argsort(post, kind="stable")
-            post, owner = post[order], owner[order]
-            root = list(range(len(members)))
-
-            def top(i: int, root: list[int] = root) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            for p, (_, pivot, s) in enumerate(members):
-                if not pivot:
-                    continue
-                a, b = np.searchsorted(post, s, "left"), np.searchsorted(post, s, "right")
-                n = b - a
-                at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                shared = np.bincount(owner[at], minlength=len(members))
-                for q in np.flatnonzero(least[1] * shared >= least[0] * (size + size[p] - shared)):
-                    x, y = top(p), top(int(q))
-                    if x != y:
-                        root[y] = x
-            for i, (node, _, _) in enumerate(members):
-                if (r := top(i)) != i:
-                    found_u.append(node)
-                    found_v.append(members[r][0])
-        return pa.RecordBatch.from_arrays([pa.array(found_u, pa.int64()), pa.array(found_v, pa.int64())], ["u", "v"])
-
-    last, total = None, 0
+            self.lists = post[order], owner[order]
+        post, owner = self.lists
+        size, own = np.array([len(s) for s in sets]), np.array([len(s) for s in self.sets])
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        a, b = np.searchsorted(post, flat, "left"), np.searchsorted(post, flat, "right")
+        n = b - a
+        hit = owner[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        shared = np.bincount(np.repeat(of, n) * len(own) + hit, minlength=len(size) * len(own)).reshape(len(size), len(own))
+        for i, k in zip(*np.nonzero(self.least[1] * shared >= self.least[0] * (size[:, None] + own - shared)), strict=True):
+            x, y = self.top(nodes[i]), self.top(self.nodes[k])
+            if x != y:
+                self.parent[x] = y
+
+    def forest(self) -> pa.RecordBatch:
+        found = [(x, r) for x in self.parent if (r := self.top(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def _links(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by chunk, pivots first: members scan the inverted lists of the pivots; a spanning forest of the links comes out.
+
+    A task holds the pivots of one chunk and SCANNED shingles of members.
+    """
+    last, chunk, nodes, sets, held = None, _Chunk(least), [], [], 0
     for batch in batches:
-        keys = list(zip(batch.column("loose").to_pylist(), batch.column("chunk").to_pylist(), strict=True))
+        keys = zip(batch.column("loose").to_pylist(), batch.column("chunk").to_pylist(), strict=True)
         lists = batch.column("shingles")
-        ends = lists.offsets.to_numpy()
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         flat = lists.flatten().to_numpy().view(np.uint64)
         for i, (key, node, pivot) in enumerate(zip(keys, batch.column("set_id").to_pylist(), batch.column("pivot").to_pylist(), strict=True)):
-            if key != last and total > 1_000_000:
-                yield solve(pending)
-                pending, total = [], 0
-            last = key
-            pending.append((key, node, pivot, flat[ends[i] - ends[0] : ends[i + 1] - ends[0]].copy()))
-            total += len(pending[-1][3])
-    if pending:
-        yield solve(pending)
+            if key != last or held > SCANNED and not pivot:
+                if nodes:
+                    chunk.scan(nodes, sets)
+                    nodes, sets, held = [], [], 0
+                if key != last:
+                    yield chunk.forest()
+                    last, chunk = key, _Chunk(least)
+            own = flat[ends[i] : ends[i + 1]].copy()
+            if pivot:
+                chunk.nodes.append(node)
+                chunk.sets.append(own)
+            nodes.append(node)
+            sets.append(own)
+            held += len(own)
+    if nodes:
+        chunk.scan(nodes, sets)
+    yield chunk.forest()
 
 
 def _checked(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -316,7 +330,7 @@ def _round(documents: DataFrame, chosen: DataFrame, pivots: DataFrame, words: in
     small = dealt.count() <= BROADCAST_ROWS
     tasks = documents.select("doc_id", "text").join(F.broadcast(dealt) if small else dealt, "doc_id")
     tasks = tasks.mapInArrow(_forgetting(partial(_checked, words=words)), "loose long, chunk long, set_id long, pivot boolean, shingles array<long>")
-    tasks = tasks.repartition("loose", "chunk").sortWithinPartitions("loose", "chunk")
+    tasks = tasks.repartition("loose", "chunk").sortWithinPartitions("loose", "chunk", F.desc("pivot"))
     return tasks.mapInArrow(freed(partial(_links, least=least)), "u long, v long"), counts.where("chunks > 1").count()
 
 
@@ -349,7 +363,7 @@ def rare_keys(scanned: DataFrame, documents: DataFrame, words: int, least: tuple
     small = open_.count() <= BROADCAST_ROWS
     ids = open_.select("set_id", "doc_id")
     full = documents.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id").mapInArrow(_forgetting(partial(_full, words=words)), "key long, set_id long")
-    shared = full.join(holders(full).where("low <> high").select("key", "n"), "key")
+    shared = spread(full, holders(full).where("low <> high").select("key", "n"), "key")
     common = shared.groupBy("set_id").agg(F.array_sort(F.collect_set(F.struct("n", "key"))).alias("common")).join(open_, "set_id")
     most = (_alone(F.col("size"), least) + 1 - (F.col("size") - F.size("common"))).cast("int")
     return written(common.where(most > 0).select(F.explode(F.slice("common", F.lit(1), most)).alias("k"), "set_id").select("k.key", "set_id"), "keys")
@@ -362,15 +376,15 @@ def linked_classes(scanned: DataFrame, documents: DataFrame, words: int, least:
     else:
         keys = rare_keys(scanned, documents, words, least)
     shared = keys.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("key", "low")
-    edges = keys.join(shared, "key").where("set_id <> low").select(F.col("set_id").alias("u"), F.col("low").alias("v"))
+    edges = spread(keys, shared, "key").where("set_id <> low").select(F.col("set_id").alias("u"), F.col("low").alias("v"))
     loose = components(edges).select(F.col("node").alias("set_id"), F.col("label").alias("loose"))
     chosen = written(
-        scanned.where("doc_id IS NOT NULL").select("doc_id", "set_id").join(loose, "set_id").groupBy("set_id", "loose").agg(F.min("doc_id").alias("doc_id")), "chosen"
+        scanned.where("doc_id IS NOT NULL").select("doc_id", "set_id", "n_shingles").join(loose, "set_id").groupBy("set_id", "loose").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size")), "chosen"
     )
     links, done, state, most = None, None, chosen, PIVOTS
     while True:
-        todo = state.groupBy("loose").agg(F.count("*").alias("n"))
-        slot = F.when(F.col("n") <= most, F.col("set_id")).otherwise(F.pmod(F.xxhash64("set_id"), F.lit(most)))
+        todo = state.groupBy("loose").agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(PIVOT_SHINGLES) / F.max("size")))).cast("long").alias("most"))
+        slot = F.when(F.col("n") <= F.col("most"), F.col("set_id")).otherwise(F.pmod(F.xxhash64("set_id"), F.col("most")))
         pivots = written(state.join(todo, "loose").groupBy("loose", slot.alias("slot")).agg(F.min("set_id").alias("set_id")).select("set_id", "loose"), "pivots")
         if links is not None and pivots.isEmpty():
             return links
@@ -379,9 +393,9 @@ def linked_classes(scanned: DataFrame, documents: DataFrame, words: int, least:
             found = found.union(links.select(F.col("node").alias("u"), F.col("label").alias("v")))
         links = components(found)
         done = pivots.select("set_id") if done is None else written(pivots.select("set_id").union(done), "done")
-        state = chosen.select("set_id", "loose").join(links.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+        state = chosen.select("set_id", "loose", "size").join(links.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
         main = state.groupBy("loose", "label").count().groupBy("loose").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        state = written(state.join(done, "set_id", "left_anti").join(main, "loose").where("label <> main").select("set_id", "loose"), "state")
+        state = written(state.join(done, "set_id", "left_anti").join(main, "loose").where("label <> main").select("set_id", "loose", "size"), "state")
         most = LATER_PIVOTS
 
 

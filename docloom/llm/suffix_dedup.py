@@ -144,16 +144,30 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows of 8-byte characters, and where in it a row differs from the one before.
 
-    Character by character, all groups that are still tied are sorted together.
+    Multikey quicksort, all open groups at once: each is split by its middle row's character into smaller, equal and
+    larger ones; equal ones go on with the next character, until the rows end or a group has one row.
     """
-    order = np.argsort(words[:, 0], kind="quicksort")
-    new = np.append(True, words[order[1:], 0] != words[order[:-1], 0])
-    for c in range(1, words.shape[1]):
-        group = np.cumsum(new)
-        inside = np.lexsort((words[order, c], group))
-        order = order[inside]
-        new |= np.append(True, words[order[1:], c] != words[order[:-1], c])
-    return order, new
+    n, depth_end = words.shape
+    order, new = np.arange(n), np.zeros(n, bool)
+    new[:1] = True
+    at, size, depth = np.array([0]), np.array([n]), np.array([0])  # the open groups' first places
+    while True:
+        go = (size > 1) & (depth < depth_end)
+        at, size, depth = at[go], size[go], depth[go]
+        if not len(at):
+            return order, new
+        group = np.repeat(np.arange(len(at)), size)
+        place = np.arange(len(group)) + np.repeat(at - (np.cumsum(size) - size), size)
+        rows = order[place]
+        sign = words[rows, depth[group]]
+        middle = sign[np.cumsum(size) - size + size // 2][group]
+        part = 3 * group + np.where(sign < middle, 0, np.where(sign == middle, 1, 2))
+        order[place] = rows[np.argsort(part, kind="stable")]
+        sizes = np.bincount(part, minlength=3 * len(at)).reshape(-1, 3)
+        starts = at[:, None] + np.cumsum(sizes, axis=1) - sizes
+        new[starts[sizes > 0]] = True
+        depths = depth[:, None] + np.array([0, 1, 0])
+        at, size, depth = starts.ravel(), sizes.ravel(), depths.ravel()
 
 
 def blind_trie(strings: list[bytes], numbers: list[int], width: int) -> tuple[list[int], list[int]]:

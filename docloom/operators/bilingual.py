@@ -9,12 +9,11 @@ from docloom.functions import tex
 
 
 def paired(first: DataFrame, second: DataFrame) -> DataFrame:
-    """doc_id, n, en, zh: transformed segments by position; documents whose numbers differ raise an error."""
+    """doc_id, n, en, zh, error: transformed segments by position; where one side has none at a place, an error says so."""
     order = Window.partitionBy("doc_id").orderBy("seq")
     number = lambda d, name: d.where("NOT preserve").select("doc_id", F.row_number().over(order).alias("n"), F.col("string").alias(name))
     both = number(first, "en").join(number(second, "zh"), ["doc_id", "n"], "full")
-    check = F.assert_true(F.col("en").isNotNull() & F.col("zh").isNotNull(), F.lit("numbers of segments differ"))
-    return both.withColumn("ok", check).where("ok IS NULL").drop("ok")
+    return both.withColumn("error", F.when(F.col("en").isNull() | F.col("zh").isNull(), "numbers of segments differ"))
 
 
 def rendered(en: Column, zh: Column, color: str = tex.COLOR) -> Column:

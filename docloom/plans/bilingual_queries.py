@@ -35,7 +35,7 @@ def bilingual_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of the body of a document and of its other side, which has the same structure, rendered in pairs."""
     found = segment.segment(tex_docs(spark, sf_dir, plain=True), "bilingual")
     other = found.withColumn("string", F.when(F.col("preserve"), F.col("string")).otherwise(F.replace("string", F.lit("e"), F.lit("Z"))))
-    return bilingual.paired(found, other).withColumn("rendered", bilingual.rendered(F.col("en"), F.col("zh")))
+    return bilingual.paired(found, other).drop("error").withColumn("rendered", bilingual.rendered(F.col("en"), F.col("zh")))
 
 
 @query(TEX_SQL + r""", a AS (SELECT doc_id, trim(regexp_replace(regexp_extract(tex, '\\caption\{([^{]*\{[^}]*\}[^}]*)\}', 1), '\s+', ' ', 'g')) AS c FROM tex_docs)

@@ -350,7 +350,10 @@ def _full(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 
 def rare_keys(scanned: DataFrame, documents: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """key and set_id: of each set that may link the rarest shingles that others have too, as many as surely hold one of a partner's."""
+    """key and set_id: of each set that may link the rarest shingles that others have too, as many as surely hold one of a partner's.
+
+    scanned is removed when the sampled shingles in it aren't needed any more.
+    """
 
     def holders(rows: DataFrame) -> DataFrame:
         return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("set_id").alias("low"), F.max("set_id").alias("high"))
@@ -360,6 +363,7 @@ def rare_keys(scanned: DataFrame, documents: DataFrame, words: int, least: tuple
     sets = scanned.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
     may = sets.join(alone, "set_id", "left").where("doc_id IS NOT NULL").where(F.coalesce("alone", F.lit(0)) <= _alone(F.col("size"), least))
     open_ = written(may.select("set_id", "doc_id", "size"), "open")
+    unwritten(scanned)
     small = open_.count() <= BROADCAST_ROWS
     ids = open_.select("set_id", "doc_id")
     full = documents.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id").mapInArrow(_forgetting(partial(_full, words=words)), "key long, set_id long")
@@ -369,18 +373,21 @@ def rare_keys(scanned: DataFrame, documents: DataFrame, words: int, least: tuple
     return written(common.where(most > 0).select(F.explode(F.slice("common", F.lit(1), most)).alias("k"), "set_id").select("k.key", "set_id"), "keys")
 
 
-def linked_classes(scanned: DataFrame, documents: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """node and label of every set that links with another."""
-    if (words, least) == (WORDS, (NUMERATOR, DENOMINATOR)):
-        keys = scanned.where("size(keys) > 0").select(F.explode("keys").alias("key"), "set_id")
-    else:
-        keys = rare_keys(scanned, documents, words, least)
+def loose_groups(scanned: DataFrame, documents: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+    """set_id and loose of the sets that share a key with others. scanned is removed."""
+    plain = (words, least) == (WORDS, (NUMERATOR, DENOMINATOR))
+    keys = scanned.where("size(keys) > 0").select(F.explode("keys").alias("key"), "set_id") if plain else rare_keys(scanned, documents, words, least)
     shared = keys.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("key", "low")
     edges = spread(keys, shared, "key").where("set_id <> low").select(F.col("set_id").alias("u"), F.col("low").alias("v"))
-    loose = components(edges).select(F.col("node").alias("set_id"), F.col("label").alias("loose"))
-    chosen = written(
-        scanned.where("doc_id IS NOT NULL").select("doc_id", "set_id", "n_shingles").join(loose, "set_id").groupBy("set_id", "loose").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size")), "chosen"
-    )
+    found = components(edges)
+    unwritten(scanned if plain else keys)
+    return found.select(F.col("node").alias("set_id"), F.col("label").alias("loose"))
+
+
+def linked_classes(rows: DataFrame, loose: DataFrame, documents: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+    """node and label of every set that links with another. rows: doc_id, set_id and n_shingles."""
+    chosen = rows.where("doc_id IS NOT NULL").select("doc_id", "set_id", "n_shingles").join(loose, "set_id")
+    chosen = written(chosen.groupBy("set_id", "loose").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size")), "chosen")
     links, done, state, most = None, None, chosen, PIVOTS
     while True:
         todo = state.groupBy("loose").agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(PIVOT_SHINGLES) / F.max("size")))).cast("long").alias("most"))
@@ -408,8 +415,8 @@ def jaccard_classes(documents: DataFrame, words: int = WORDS, least: tuple[int,
     keyed = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     scan = _scan if (words, least) == (WORDS, (NUMERATOR, DENOMINATOR)) else _sampled(words)
     scanned = written(keyed.mapInArrow(_forgetting(scan), f"doc_id {kind}, row long, n_shingles long, set_id long, keys array<long>"), "sets")
-    labels = linked_classes(scanned, documents, words, least)
-    rows = scanned.select("doc_id", "row", "n_shingles", "set_id")
+    rows = written(scanned.drop("keys"), "rows")
+    labels = linked_classes(rows, loose_groups(scanned, documents, words, least), documents, words, least)
     sets = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("low")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     sets = sets.select("set_id", "low", F.coalesce("label", "set_id").alias("class_id"))
     lowest = sets.groupBy("class_id").agg(F.min("low").alias("component_id"))

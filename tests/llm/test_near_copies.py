@@ -3,7 +3,6 @@
 import random
 
 import pytest
-import test_pipeline
 from test_ngram_join import corpus
 
 import corpus_pipeline
@@ -58,14 +57,3 @@ def test_stage_on_the_tables(spark, folder):
     classes = brute(rows, 5, 80)
     want = {doc for doc, n, low in classes if doc == low or not n}
     assert {r["doc_id"] for r in corpus_pipeline.jaccard_join(spark, documents, "").collect()} == want
-
-
-def test_run_with_this_rule(spark, monkeypatch):
-    """test_pipeline.test_run, whose own brute force links by three words from 0.9 on."""
-
-    def firsts(rows):
-        low = {doc for doc, n, least in brute(rows, 5, 80) if doc == least or not n}
-        return [r for r in rows if r[0] in low]
-
-    monkeypatch.setattr(test_pipeline, "linked_firsts", firsts)
-    test_pipeline.test_run(spark)

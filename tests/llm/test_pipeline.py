@@ -29,7 +29,7 @@ def linked_firsts(rows):
     sets = []
     for _, t in rows:
         w = t.encode().lower().split()
-        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
     parent = list(range(len(rows)))
 
     def top(i):
@@ -40,7 +40,7 @@ def linked_firsts(rows):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((top(a), top(b)))
                 parent[y] = x
     return [r for i, r in enumerate(rows) if top(i) == i]

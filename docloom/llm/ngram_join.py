@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from docloom.llm.graph import components
-from docloom.llm.shared import freed, give_back, slices, spread, table, unwritten, written
+from docloom.llm.shared import free_name, freed, give_back, slices, spread, table, unwritten, written
 
 WORDS = 3
 NUMERATOR, DENOMINATOR = 90, 100
@@ -426,14 +426,15 @@ def jaccard_classes(documents: DataFrame, words: int = WORDS, least: tuple[int,
 
 
 def first_of_classes(documents: DataFrame, words: int = WORDS, least: tuple[int, int] = (NUMERATOR, DENOMINATOR)) -> DataFrame:
-    """documents with one row of each class: that with the smallest doc_id. Rows without words all stay."""
-    classes = jaccard_classes(documents, words, least).select("doc_id", "row", "class_id", "n_shingles")
-    first = classes.where("n_shingles > 0").groupBy("class_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("__row"))
-    kept = first.select("__row", F.lit(True).alias("__one")).union(classes.where("n_shingles = 0").select("row", F.lit(False)).distinct())
-    joined = documents.withColumn("__row2", F.xxhash64("doc_id", "text")).join(kept, F.col("__row") == F.col("__row2"))
+    """documents, all columns, whatever their names, with one row of each class: that with the smallest doc_id. Rows without words all stay."""
+    classes = jaccard_classes(documents.select("doc_id", "text"), words, least).select("doc_id", "row", "class_id", "n_shingles")
+    key, one, own, turn = (free_name(documents, x) for x in ("key", "one", "own", "turn"))
+    first = classes.where("n_shingles > 0").groupBy("class_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias(key))
+    kept = first.select(key, F.lit(True).alias(one)).union(classes.where("n_shingles = 0").select("row", F.lit(False)).distinct())
+    joined = documents.withColumn(own, F.xxhash64("doc_id", "text")).join(kept, F.col(key) == F.col(own))
     # Equal rows have equal keys; of a class's first row one copy stays.
-    turn = F.row_number().over(Window.partitionBy("__row2").orderBy("__row2"))
-    return joined.withColumn("__turn", turn).where("NOT __one OR __turn = 1").drop("__row", "__row2", "__one", "__turn")
+    place = F.row_number().over(Window.partitionBy(own).orderBy(own))
+    return joined.withColumn(turn, place).where(~F.col(one) | (F.col(turn) == 1)).drop(key, own, one, turn)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

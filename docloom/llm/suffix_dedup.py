@@ -10,7 +10,8 @@ tied). With the longest common prefixes of both orders, a window at an offset re
 its bytes on both sides.
 
 An anchor that more than HOT different runs share is not brought to one task: its windows are counted by hash in
-pre-aggregated groups, one row each, so an endlessly common passage is spread over all tasks.
+pre-aggregated groups, one row each, so an endlessly common passage is spread over all tasks. (Splitting its runs by
+their next bytes instead would lose windows that begin before the anchor, and those that share only these stay together.)
 
 Defined results: null text is empty; matches never cross documents; texts under 200 bytes keep all; repeated rows
 repeat each other. Other columns than doc_id and text aren't read. Runs and hot windows are compared by 64- and
@@ -21,13 +22,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import freed, slices, table, written
+from docloom.llm.shared import free_name, freed, slices, table, written
 
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM  # largest offset of an anchor in its window
@@ -399,23 +401,24 @@ def dedup(documents: DataFrame) -> DataFrame:
     return joined.mapInArrow(freed(_cut), f"doc_id {dict(documents.dtypes)['doc_id']}, n_bytes long, spans array<array<long>>, kept binary")
 
 
-def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All columns, with the text's repeated spans removed; a character that a span cuts in two goes whole."""
-    for batch in batches:
-        for part in slices(iter([batch]), "text", 8 << 20):
-            rest = [n for n in part.schema.names if n != "found"]
-            texts = [None if t is None else k.decode(errors="ignore") for c in _cut(iter([part])) for t, k in zip(part.column("text").to_pylist(), c.column("kept").to_pylist(), strict=True)]
-            columns = {n: part.column(n) for n in rest} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(t or "") for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([columns[n] for n in rest], rest)
+def _cut_rows(batches: Iterator[pa.RecordBatch], found: str) -> Iterator[pa.RecordBatch]:
+    """All columns but that of the found spans, with these removed from the text; a character that a span cuts in two goes whole."""
+    for part in slices(batches, "text", 8 << 20):
+        given = pa.RecordBatch.from_arrays([part.column(n) for n in ("doc_id", "text", found)], ["doc_id", "text", "found"])
+        kept = [k for c in _cut(iter([given])) for k in c.column("kept").to_pylist()]
+        texts = [None if t is None else k.decode(errors="ignore") for t, k in zip(part.column("text").to_pylist(), kept, strict=True)]
+        columns = {n: part.column(n) for n in part.schema.names if n != found} | {"text": pa.array(texts, pa.string())}
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([len(t or "") for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
-    """documents, all columns, with texts without their repeated spans; n_chars, if there, counts what is left."""
-    found = written(repeated_spans(documents), "spans").withColumnRenamed("row", "__row")
-    joined = documents.join(found, row_of() == F.col("__row"), "left").drop("__row")
-    return joined.mapInArrow(freed(_cut_rows), documents.schema)
+    """documents, all columns, whatever their names, with texts without their repeated spans; n_chars, if there, counts what is left."""
+    key, own = free_name(documents, "row"), free_name(documents, "found")
+    found = written(repeated_spans(documents.select("doc_id", "text")), "spans").select(F.col("row").alias(key), F.col("found").alias(own))
+    joined = documents.join(found, row_of() == F.col(key), "left").drop(key)
+    return joined.mapInArrow(freed(partial(_cut_rows, found=own)), documents.schema)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -84,3 +84,14 @@ def test_stages_keep_the_columns(spark):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         got = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
         assert len(got) in (0, 3)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["found", "row", "key", "one", "own", "turn", "__hit", "__row", "spans", "bits", "keys", "class_id"]
+    rows = [(1, "the cat of the house and the garden", "en"), (2, "the dog and the cat", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "length(text) AS n_chars", *[f"'{n}' AS `{n}`" for n in names])
+    docs = docs.withColumn("n_chars", docs["n_chars"].cast("long"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER)
+        assert docs.columns == ["doc_id", "text", "lang", "n_chars", *names]
+        assert all(r[n] == n for r in docs.collect() for n in names)

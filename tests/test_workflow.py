@@ -145,3 +145,15 @@ def test_run_log(tmp_path):
         raise KeyError
     logging.getLogger("own").warning("not seen")
     assert "seen" in (tmp_path / "log").read_text() and "not seen" not in (tmp_path / "log").read_text()
+
+
+def test_tokens_of_an_encoding(spark, tmp_path):
+    import base64
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256}
+    (tmp_path / "ranks").write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for t, i in ranks.items()))
+    count = chat.token_counter(str(tmp_path / "ranks"), r"\S+|\s+")
+    df = spark.createDataFrame([("p", 0, "abab"), ("p", 1, "xyz"), ("p", 2, "")], "doc_id string, seg_idx long, string string")
+    assert [r[0] for r in df.orderBy("seg_idx").select(count(F.col("string"))).collect()] == [2, 3, 0]
+    got = chat.chunks(df.where("seg_idx < 2"), limit=3, tokens=count).orderBy("seg_idx", "chunk_idx").collect()
+    assert [r["content"] for r in got] == ["abab", "xyz"]

@@ -49,6 +49,9 @@ CHUNK = 256
 #: Shingles of pivots and of members that a task holds; a group of larger sets has fewer pivots in a round, one at least.
 PIVOT_SHINGLES = 4_000_000
 SCANNED = 500_000
+#: Members that are compared with the pivots at once, and places in the lists that are looked at at once.
+MEMBERS = 512
+POSTINGS = 2_000_000
 #: One of so many shingles is counted to find the sets that have too many alone.
 SAMPLE = 4
 #: Ids of documents with candidates are broadcast up to this many; beyond it they join by a shuffle.
@@ -261,10 +264,18 @@ class _Chunk:
         post, owner = self.lists
         size, own = np.array([len(s) for s in sets]), np.array([len(s) for s in self.sets])
         flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        a, b = np.searchsorted(post, flat, "left"), np.searchsorted(post, flat, "right")
-        n = b - a
-        hit = owner[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        shared = np.bincount(np.repeat(of, n) * len(own) + hit, minlength=len(size) * len(own)).reshape(len(size), len(own))
+        a = np.searchsorted(post, flat, "left")
+        n = np.searchsorted(post, flat, "right") - a
+        shared = np.zeros(len(size) * len(own), np.int64)
+        total = np.cumsum(n)
+        i = 0
+        while i < len(flat):  # POSTINGS of the lists at a time, as near copies share most of their shingles with all pivots
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + POSTINGS, side="right")))
+            part = n[i:j]
+            hit = owner[np.repeat(a[i:j] - (np.cumsum(part) - part), part) + np.arange(part.sum())]
+            shared += np.bincount(np.repeat(of[i:j], part) * len(own) + hit, minlength=len(shared))
+            i = j
+        shared = shared.reshape(len(size), len(own))
         for i, k in zip(*np.nonzero(self.least[1] * shared >= self.least[0] * (size[:, None] + own - shared)), strict=True):
             x, y = self.top(nodes[i]), self.top(self.nodes[k])
             if x != y:
@@ -287,7 +298,7 @@ def _links(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterato
         ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         flat = lists.flatten().to_numpy().view(np.uint64)
         for i, (key, node, pivot) in enumerate(zip(keys, batch.column("set_id").to_pylist(), batch.column("pivot").to_pylist(), strict=True)):
-            if key != last or held > SCANNED and not pivot:
+            if key != last or (held > SCANNED or len(nodes) >= MEMBERS) and not pivot:
                 if nodes:
                     chunk.scan(nodes, sets)
                     nodes, sets, held = [], [], 0

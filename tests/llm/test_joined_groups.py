@@ -62,7 +62,7 @@ def test_chains_of_passages(spark, words, numerator):
     assert sorted(str(tuple(r)) for r in got) == listed(rows, words, numerator)
 
 
-@pytest.mark.parametrize("name", ["BROADCAST_ROWS", "PIVOT_SHINGLES", "SCANNED"])
+@pytest.mark.parametrize("name", ["BROADCAST_ROWS", "PIVOT_SHINGLES", "SCANNED", "POSTINGS"])
 @pytest.mark.parametrize(("words", "numerator"), [(3, 90), (5, 80)])
 def test_other_sides_of_bounds(spark, monkeypatch, name, words, numerator):
     """Joins by exchanges, few pivots in a round, and members scanned one by one."""

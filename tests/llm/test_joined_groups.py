@@ -62,12 +62,14 @@ def test_chains_of_passages(spark, words, numerator):
     assert sorted(str(tuple(r)) for r in got) == listed(rows, words, numerator)
 
 
-@pytest.mark.parametrize("name", ["BROADCAST_ROWS", "PIVOT_SHINGLES", "SCANNED", "POSTINGS"])
-@pytest.mark.parametrize(("words", "numerator"), [(3, 90), (5, 80)])
-def test_other_sides_of_bounds(spark, monkeypatch, name, words, numerator):
+@pytest.mark.parametrize(
+    ("name", "value", "words", "numerator"),
+    [("BROADCAST_ROWS", -1, 3, 90), ("BROADCAST_ROWS", -1, 5, 80), ("PIVOT_SHINGLES", 6000, 5, 80), ("SCANNED", -1, 3, 90), ("POSTINGS", 1, 5, 80)],
+)
+def test_other_sides_of_bounds(spark, monkeypatch, name, value, words, numerator):
     """Joins by exchanges, few pivots in a round, and members scanned one by one."""
-    monkeypatch.setattr(ngram_join, name, 1500 if name == "PIVOT_SHINGLES" else -1)
-    long = "very long text of a few words that come again " * 30_000
+    monkeypatch.setattr(ngram_join, name, value)
+    long = "very long text of a few words that come again " * 10_000
     rows = corpus(11)[-60:] + [(None, "a text of a null id with ten words in it"), (None, "a text of a null id with ten words in it"), (90, "a text of a null id with ten words in it"), (None, "alone with no id"), (91, long), (92, long + "end")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = ngram_join.jaccard_classes(df, words, (numerator, 100)).select("doc_id", "n_shingles", "component_id").collect()

@@ -34,9 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
 _SCRATCH: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
 
+    kept: beyond the end of scratch().
     The shuffle files behind df aren't needed any more; collecting garbage lets Spark's cleaner remove them.
     """
     spark = df.sparkSession
@@ -44,7 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.docloom_path = path
-    for names in _SCRATCH[-1:]:
+    for names in [] if kept else _SCRATCH[-1:]:
         names.append(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 run() writes each stage's result into the shared folder and reads it back for the next, so a lost executor costs one
-stage at most.
+stage at most; what a stage wrote for itself, and the result before it, are removed then.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, decontaminate, language, ngram_join, suffix_dedup
-from docloom.llm.shared import table, written
+from docloom.llm.shared import scratch, table, unwritten, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, kept=True)
+        unwritten(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,6 +15,7 @@ Documents keep their other columns, whatever their names; a column with the name
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,17 +68,14 @@ def window_hashes(words: Column, length: int) -> Column:
 def windows_of(benchmark: DataFrame) -> DataFrame:
     """hash, length, window, items: one row for each distinct window."""
     n = F.size("words")
-    starts = F.when(n >= WORDS_PER_WINDOW, F.sequence(F.lit(1), n - (WORDS_PER_WINDOW - 1))).when(n > 0, F.array(F.lit(1)))
-    each = (
-        benchmark.select("item_id", words_of(F.col("text")).alias("words"))
-        .select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, WORDS_PER_WINDOW))).alias("part"))
-    )
-    hashed = F.lit(None).cast("long")
-    for k in range(1, WORDS_PER_WINDOW + 1):
-        hashed = F.when(F.size("part") == k, F.get(window_hashes(F.col("part"), k), F.lit(0))).otherwise(hashed)
+    hashes = F.when(n >= WORDS_PER_WINDOW, window_hashes(F.col("words"), WORDS_PER_WINDOW))
+    for k in range(1, WORDS_PER_WINDOW):
+        hashes = F.when(n == k, window_hashes(F.col("words"), k)).otherwise(hashes)
+    part = lambda h, i: F.struct(h.alias("hash"), F.array_join(F.slice("words", i + 1, WORDS_PER_WINDOW), " ").alias("window"))
     return (
-        each.groupBy("part").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-        .select(hashed.alias("hash"), F.size("part").alias("length"), F.array_join("part", " ").alias("window"), "items")
+        benchmark.select("item_id", words_of(F.col("text")).alias("words"))
+        .select("item_id", F.least(n, F.lit(WORDS_PER_WINDOW)).alias("length"), F.explode(F.transform(hashes, part)).alias("part"))
+        .groupBy("part.hash", "length", "part.window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     )
 
 
@@ -88,13 +86,19 @@ def text_key(text: Column) -> Column:
 def scan(documents: DataFrame, windows: DataFrame, lengths: list[int], n_windows: int) -> DataFrame:
     """doc_id, text_key, n_words and passed (start, length, hash and words of the windows that may be in the set) of every document."""
     blocks = n_windows * BITS_PER_WINDOW // 64 + 1
-    words = F.col("words")
-    split = documents.select("doc_id", text_key(F.col("text")).alias("text_key"), words_of(F.col("text")).alias("words")).withColumn("bits", bit_table(windows.select(F.col("hash").alias("h")), blocks))
-    passed = []
-    for n in lengths:
-        may = F.transform(window_hashes(words, n), lambda h, i: F.when(may_hold(F.col("bits"), h, blocks), F.struct(i.alias("start"), F.lit(n).alias("length"), h.alias("hash"))))
-        passed.append(F.transform(F.filter(may, lambda x: x.isNotNull()), lambda x: x.withField("part", F.array_join(F.slice(words, x["start"] + 1, x["length"]), " "))))
-    return split.select("doc_id", "text_key", F.size(words).cast("long").alias("n_words"), F.concat(*passed).alias("passed"))
+
+    def passed(words: Column, bits: Column, n: int) -> Column:
+        may = F.transform(window_hashes(words, n), lambda h, i: F.when(may_hold(bits, h, blocks), F.struct(i.alias("start"), F.lit(n).alias("length"), h.alias("hash"))))
+        return F.transform(F.filter(may, lambda x: x.isNotNull()), lambda x: x.withField("part", F.array_join(F.slice(words, x["start"] + 1, x["length"]), " ")))
+
+    def seen(words: Column) -> Column:
+        every = bound(F.col("bits"), lambda bits: F.concat(*[passed(words, bits, n) for n in lengths]))
+        return F.struct(F.size(words).cast("long").alias("n_words"), every.alias("passed"))
+
+    # One select names the table once, so that Spark takes it in: as a column it would be copied into every row.
+    table_ = bit_table(windows.select(F.col("hash").alias("h")), blocks)
+    rows = documents.select("doc_id", "text", table_.alias("bits")).select("doc_id", text_key(F.col("text")).alias("text_key"), bound(words_of(F.col("text")), seen).alias("seen"))
+    return rows.select("doc_id", "text_key", "seen.n_words", "seen.passed")
 
 
 def scanned_and_found(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,16 +107,14 @@ def scanned_and_found(documents: DataFrame, benchmark: DataFrame) -> tuple[DataF
     sizes = F.octet_length("window") + F.aggregate("items", F.lit(64).cast("long"), lambda n, x: n + F.octet_length(x) + 16)
     facts = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(sizes), F.lit(0)).alias("bytes"), F.collect_set("length").alias("lengths")).first()
     parts = max(1, -(-facts["n"] * BITS_PER_WINDOW // (8 * FILTER_BYTES)))
-    first, hits = None, None
-    for k in range(parts):
-        own = windows if parts == 1 else windows.where(F.pmod("hash", F.lit(parts)) == k)
-        seen = written(scan(documents, own, sorted(facts["lengths"]) or [WORDS_PER_WINDOW], -(-facts["n"] // parts)), "scan")
-        table_ = F.broadcast(own) if facts["bytes"] <= parts * BROADCAST_BYTES else own
-        passed = seen.where(F.size("passed") > 0).select("doc_id", "text_key", F.explode("passed").alias("p")).select("doc_id", "text_key", "p.*")
-        found = passed.join(table_.withColumnRenamed("length", "long"), "hash").where((F.col("part") == F.col("window")) & (F.col("length") == F.col("long"))).select("doc_id", "text_key", "start", "length", "items")
-        first, hits = (seen, found) if first is None else (first, hits.union(found))
+    lengths, share = sorted(facts["lengths"]) or [WORDS_PER_WINDOW], -(-facts["n"] // parts)
+    scans = [written(scan(documents, windows.where(F.pmod("hash", F.lit(parts)) == k), lengths, share), "scan") for k in range(parts)]
+    passed = reduce(DataFrame.union, [x.select("doc_id", "text_key", F.explode("passed").alias("p")).select("doc_id", "text_key", "p.*") for x in scans])
+    table_ = F.broadcast(windows) if facts["bytes"] <= BROADCAST_BYTES else windows
+    hits = passed.join(table_.withColumnRenamed("length", "long"), "hash").where((F.col("part") == F.col("window")) & (F.col("length") == F.col("long"))).select("doc_id", "text_key", "start", "length", "items")
     found = hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return first, written(found, "found")
+    # A scan knows only what passed its own part; what every scan has of a document is the same otherwise.
+    return scans[0].drop("passed"), written(found, "found")
 
 
 def covered(spans: Column) -> Column:
@@ -167,12 +169,9 @@ def without_words(text: Column, hit: Column) -> Column:
 def counts(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items and contaminated of every document, from the scan alone."""
     seen, found = scanned_and_found(documents, benchmark)
-    # A document no window of which passed the bits takes no part in the join.
-    passed = F.size("passed") > 0
     found = found.select(F.col("doc_id").alias("doc"), F.col("text_key").alias("key"), "spans", "items")
-    some = seen.where(passed).drop("passed").join(found, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("key")), "left")
-    none = seen.where(~passed).select("doc_id", "n_words", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    return some.select(none.columns).union(none).select("doc_id", "n_words", covered(F.col("spans")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("spans").isNotNull().alias("contaminated"))
+    every = seen.join(found, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("key")), "left")
+    return every.select("doc_id", "n_words", covered(F.col("spans")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("spans").isNotNull().alias("contaminated"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

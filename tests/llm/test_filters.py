@@ -83,3 +83,18 @@ def test_the_other_sides_of_bounds(spark, same, monkeypatch, name, value):
     monkeypatch.setattr(decontaminate, name, value)
     folder = FOLDER if name == "BROADCAST_BYTES" else "/root/testdata/sf0.001"
     same(decontaminate.op10_decontaminate(spark, folder), decontaminate.ORACLE_SQL, folder)
+
+
+@pytest.mark.parametrize("broadcast", [-1, 64 << 20])
+def test_hits_of_all_parts_of_a_set(spark, monkeypatch, broadcast):
+    """One part for each window: a document's hits come from any of them, and from several."""
+    benchmark = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(5)] + [(5, "b0 c0 a1")], "item_id int, text string")
+    documents = spark.createDataFrame([(i, f"x a{i} b{i} c{i} y") for i in range(5)] + [(5, "a0 b0 c0 a1 z a4 b4 c4"), (6, "a0 b0"), (None, "A3-b3-C3")], "doc_id int, text string")
+    want = [("0", 5, 3, ["0"]), ("1", 5, 3, ["1"]), ("2", 5, 3, ["2"]), ("3", 5, 3, ["3"]), ("4", 5, 3, ["4"]), ("5", 8, 7, ["0", "4", "5"]), ("6", 2, 0, []), ("None", 3, 3, ["3"])]
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
+    for most in (64 << 20, 24, 8):
+        monkeypatch.setattr(decontaminate, "FILTER_BYTES", most)
+        for run in (decontaminate.counts, decontaminate.decontaminate):
+            rows = run(documents, benchmark).collect()
+            assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in rows) == want
+            assert all(r["contaminated"] == (r["n_hit"] > 0) for r in rows)
